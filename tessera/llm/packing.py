@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -26,32 +27,67 @@ from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-#: Words kept with their ids in each Python worker; beyond that the memory starts anew.
-KNOWN_WORDS = 300_000
+#: Words, and runs of letters, kept with their ids in each Python worker.
+KNOWN_WORDS, KNOWN_CORES = 1_000_000, 600_000
 _KNOWN: dict[str, tuple] = {}
 
 
+MARKS = ".,;:!?"
+
+
+def _ids(encoding) -> bytes:
+    return np.array(encoding.ids, "<u4").tobytes()
+
+
+def _learn(tokenizer, known: dict[bytes, bytes], cores: dict[str, bytes], new: set[bytes]) -> None:
+    """Put the ids of new words into known.
+
+    A run of letters is one piece to the pre-tokenizer, and so are the marks behind it. Letters are looked up
+    in lower case, where that gives the same ids, and unseen ones are encoded many at once; the encoding
+    tells which ids belong to which run. Any other word is encoded by itself.
+    """
+    whole, split = [], []
+    for w in new:
+        text = w.decode()
+        core = text.rstrip(MARKS)
+        if core.isalpha() and "\u03a3" not in core and is_normalized("NFC", core) and is_normalized("NFC", low := core.lower()) and low.isalpha():
+            split.append((w, low, text[len(core) :]))
+        else:
+            whole.append(w)
+    unseen = list({low for _, low, _ in split if low not in cores})
+    for at in range(0, len(unseen), 512):
+        part = unseen[at : at + 512]
+        e = tokenizer.encode(" ".join(part), add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        borders = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
+        cores.update({low: ids[i:j].tobytes() for low, i, j in zip(part, borders, borders[1:], strict=False)})
+    for marks in {m for _, _, m in split} - cores.keys():
+        cores[marks] = _ids(tokenizer.encode(marks, add_special_tokens=False))
+    known.update({w: cores[low] + cores[marks] for w, low, marks in split})
+    for w in whole:
+        known[w] = _ids(tokenizer.encode(w.decode(), add_special_tokens=False))
+
+
 def word_ids(path: str, texts: list[str | None]) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers.
 
-    The tokenizer's pre-tokenizer drops white space and never looks across it, so a text's ids are those of
-    its words one after another; words are remembered, and only new ones go to the tokenizer.
+    The pre-tokenizer drops white space and never looks across it, so a text's ids are those of its words one
+    after another; words are remembered, and only new ones go to the tokenizer.
     """
     if path not in _KNOWN:
         from tokenizers import Tokenizer
 
-        _KNOWN[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _KNOWN[path]
+        _KNOWN[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, known, cores = _KNOWN[path]
     split = [(t or "").encode().split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > KNOWN_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+    new = set().union(*split).difference(known)
+    for held, most in ((known, KNOWN_WORDS), (cores, KNOWN_CORES)):
+        if len(held) + len(new) > most:
+            for w in list(held)[::2]:  # half of them go; common words soon return
+                del held[w]
+            new = set().union(*split).difference(known)
+    _learn(tokenizer, known, cores, new)
+    return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
