@@ -7,6 +7,7 @@ from tessera.llm.language import op6_language
 from tessera.llm.mixing import op1_mixing
 from tessera.llm.packing import op3_packing
 from tessera.llm.simhash import op9_simhash
+from tessera.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -14,5 +15,6 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op6_language": op6_language,
     "op9_simhash": op9_simhash,
+    "op10_warc": op10_warc,
 }
-SQL = {"op4_chat": OP4_SQL}
+SQL = {"op4_chat": OP4_SQL, "op10_warc": OP10_SQL}
