@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.chat import OP4_SQL, op4_chat
 from tessera.llm.language import op6_language
+from tessera.llm.media import op2_media
 from tessera.llm.mixing import op1_mixing
 from tessera.llm.packing import op3_packing
 from tessera.llm.simhash import op9_simhash
@@ -11,6 +12,7 @@ from tessera.llm.warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_media": op2_media,
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
     "op6_language": op6_language,
