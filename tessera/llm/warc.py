@@ -220,6 +220,7 @@ def mark_revisits(pages: DataFrame, least_bytes: int = REVISIT_BYTES) -> DataFra
     Only digests that occur more than once are joined, and they are counted before the shuffle."""
     big = F.when(F.col("n") >= least_bytes, F.col("digest"))
     first = pages.select(big.alias("digest"), "page_id").dropna(subset=["digest"]).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    first = materialize(first, "copies")  # its size is known now, and decides whether it is broadcast or both sides are shuffled
     joined = pages.withColumn("_big", big).join(first.withColumnRenamed("digest", "_big"), "_big", "left")
     return joined.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("_big", "first")
 
@@ -230,7 +231,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = mark_revisits(pages.withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.octet_length("payload")))
     key = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     archives = materialize(write_archives(pages.withColumn("key", key).withColumn("refers_to", F.col("refers_to").cast("string")), fresh_path(spark, "warc")), "archives")
-    located = list_records(archives.repartition("archive"))
+    located = list_records(archives.repartition(max(1, archives.count())))  # a task an archive
     records = read_records(located).withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256)).drop("payload")
     records = materialize(records, "records")
     full = records.filter("record_type = 'response'").groupBy(F.col("key").alias("refers_to"), F.col("payload_digest").alias("digest")).agg(F.first("payload_bytes").alias("_bytes"))
