@@ -7,6 +7,7 @@ from tessera.llm.language import op6_language
 from tessera.llm.media import op2_media
 from tessera.llm.mixing import op1_mixing
 from tessera.llm.packing import op3_packing
+from tessera.llm.pii import op8_pii
 from tessera.llm.simhash import op9_simhash
 from tessera.llm.substrings import op7_substrings
 from tessera.llm.warc import OP10_SQL, op10_warc
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op6_language": op6_language,
     "op7_substrings": op7_substrings,
+    "op8_pii": op8_pii,
     "op9_simhash": op9_simhash,
     "op10_warc": op10_warc,
 }
