@@ -6,6 +6,7 @@ from tessera.llm.chat import OP4_SQL, op4_chat
 from tessera.llm.language import op6_language
 from tessera.llm.media import op2_media
 from tessera.llm.mixing import op1_mixing
+from tessera.llm.neighbours import op5_neighbours
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op8_pii
 from tessera.llm.simhash import op9_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_media": op2_media,
     "op3_packing": op3_packing,
     "op4_chat": op4_chat,
+    "op5_neighbours": op5_neighbours,
     "op6_language": op6_language,
     "op7_substrings": op7_substrings,
     "op8_pii": op8_pii,
