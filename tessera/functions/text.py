@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Lines that try to instruct a model.
@@ -174,19 +174,23 @@ def cache_key(text: Column | str) -> Column:
     return F.sha2(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), 256)
 
 
-def hashed_embedding(text: Column | str, dim: int = 64) -> Column:
-    """T5: eight signed hashed features of each token's SHA-256, normalised; all zeros without tokens."""
-    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9._:@-]+"), lambda t: t != "")
-    byte = lambda d, i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+def hashed_features(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    """T5: (key, at, x): eight signed hashed features of each token's SHA-256, summed by place and normalised.
 
-    def features(token: Column) -> Column:
-        digest = F.sha2(token, 256)
-        return F.transform(F.sequence(F.lit(0), F.lit(28), F.lit(4)), lambda i: F.struct(((byte(digest, i) * 256 + byte(digest, i + 1)) % dim).alias("at"), (F.when(byte(digest, i + 2) % 2 == 1, 1.0).otherwise(-1.0) * (0.25 + byte(digest, i + 3) / 255 * 0.75)).alias("x")))
+    Tokens are counted before they are hashed, and each is hashed once."""
+    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9._:@-]+")
+    counted = docs.select(key, F.explode(tokens).alias("token")).filter("token != ''").groupBy(key, "token").agg(F.count("*").alias("n"))
+    byte = lambda i: F.conv(F.substr("digest", i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    hashed = counted.withColumn("digest", F.sha2("token", 256)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(28), F.lit(4))))
+    x = F.when(byte(F.col("i") + 2) % 2 == 1, 1.0).otherwise(-1.0) * (0.25 + byte(F.col("i") + 3) / 255 * 0.75) * F.col("n")
+    summed = hashed.groupBy(key, ((byte(F.col("i")) * 256 + byte(F.col("i") + 1)) % dim).alias("at")).agg(F.sum(x).alias("x"))
+    return summed.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key))))
 
-    all_features = F.flatten(F.transform(tokens, features))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.aggregate(F.filter(all_features, lambda f: f["at"] == k), F.lit(0.0), lambda s, f: s + f["x"]))
-    size = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(raw, lambda x: F.when(size > 0, x / size).otherwise(0.0))
+
+def dense_vectors(features: DataFrame, key: str, dim: int = 64) -> DataFrame:
+    """(key, at, x) -> key and the vector of all places."""
+    filled = features.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"))
+    return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("vec"))
 
 
 def code_structure(text: Column | str) -> Column:

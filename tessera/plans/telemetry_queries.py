@@ -80,9 +80,9 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "requests", *[F.round(c, 6).alias(c) for c in ("success_rate", "slow", "per_second", "p95")], F.round("median", 5).alias("median"))
 
 
-@query(f"WITH {R} SELECT run_id, route, count(DISTINCT seed) AS seeds, round(avg(latency), 5) AS latency_mean, round(stddev_samp(latency), 5) AS latency_std, min(latency) AS latency_min, max(latency) AS latency_max FROM r GROUP BY run_id, route")
+@query(f"WITH {R} SELECT run_id, route, count(DISTINCT seed) AS seeds, round(avg(latency), 3) AS latency_mean, round(stddev_samp(latency), 3) AS latency_std, min(latency) AS latency_min, max(latency) AS latency_max FROM r GROUP BY run_id, route")
 def group_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.group_stats(_requests(spark, sf_dir), ["run_id", "route"], ["latency"], "seed").withColumn("latency_mean", F.round("latency_mean", 5)).withColumn("latency_std", F.round("latency_std", 5))
+    return T.group_stats(_requests(spark, sf_dir), ["run_id", "route"], ["latency"], "seed").withColumn("latency_mean", F.round("latency_mean", 3)).withColumn("latency_std", F.round("latency_std", 3))
 
 
 @query(f"WITH {R} SELECT run_id, event_id, CAST(sum(CAST(round(latency) AS BIGINT)) OVER (PARTITION BY run_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM r")

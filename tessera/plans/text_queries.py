@@ -64,7 +64,7 @@ def path_docid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", X.path_doc_id("url").alias("doc"))
 
 
-@query(r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), a AS (SELECT *, strpos(lower(t), 'the') AS at FROM f), s AS (SELECT *, CASE WHEN at > 0 THEN greatest(1, at - 38) ELSE 1 END AS st FROM a) SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || substr(t, st, 80) || CASE WHEN st + 80 <= length(t) THEN '…' ELSE '' END AS preview FROM s")
+@query(r"WITH f AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents), a AS (SELECT *, strpos(lower(t), 'the') AS hit FROM f), s AS (SELECT *, CASE WHEN hit > 0 THEN greatest(1, hit - 38) ELSE 1 END AS st FROM a) SELECT doc_id, CASE WHEN st > 1 THEN '…' ELSE '' END || substr(t, st, 80) || CASE WHEN st + 80 <= length(t) THEN '…' ELSE '' END AS preview FROM s")
 def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.preview("text", "the").alias("preview"))
 
@@ -74,9 +74,20 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select("item_id", X.cache_key("text").alias("key"))
 
 
-@query()
+_BYTE = "CAST('0x' || substr(d, {0} * 2 + 1, 2) AS INTEGER)"
+
+
+@query(rf"""WITH t AS (SELECT item_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9._:@-]+'), lambda x: x <> '')) AS token FROM benchmark), d AS (SELECT item_id, sha256(token) AS d, unnest([0, 4, 8, 12, 16, 20, 24, 28]) AS i FROM t),
+f AS (SELECT item_id, ({_BYTE.format("i")} * 256 + {_BYTE.format("(i + 1)")}) % 64 AS k, sum(CASE WHEN {_BYTE.format("(i + 2)")} % 2 = 1 THEN 1 ELSE -1 END * (0.25::DOUBLE + {_BYTE.format("(i + 3)")} / 255.0::DOUBLE * 0.75::DOUBLE)) AS x FROM d GROUP BY ALL)
+SELECT item_id, CAST(k AS INTEGER) AS k, round(x / sqrt(sum(x * x) OVER (PARTITION BY item_id)), 6) AS x FROM f""")
 def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").select("item_id", X.hashed_embedding("text").alias("vec"))
+    out = X.hashed_features(load(spark, sf_dir, "benchmark"), "item_id", "text")
+    return out.select("item_id", F.col("at").alias("k"), F.round("x", 6).alias("x"))
+
+
+@query()
+def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.dense_vectors(X.hashed_features(load(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
 @query()
