@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 WINDOW = 2048
 END_ID = 1
 #: Words, and runs of letters, kept with their ids in each Python worker.
-KNOWN_WORDS, KNOWN_CORES = 1_000_000, 600_000
+KNOWN_WORDS, KNOWN_CORES = 400_000, 250_000
 _KNOWN: dict[str, tuple] = {}
 
 
