@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from tessera.storage import materialize, release
 
+#: Searches also start from so many of the longest vectors, which are near many by inner product.
+LONG_STARTS = 32
 LISTS = "node long, ids array<long>, scores array<float>, fresh array<boolean>"
 
 
@@ -191,6 +193,20 @@ def build_graph(nodes: DataFrame, k: int = 24, trees: int = 16, block: int = 204
     return graph
 
 
+def _as_queries(nodes: DataFrame) -> DataFrame:
+    """q, query: bytes as in make_nodes, scaled to length 1, with nothing in the extra component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 2000):
+                part = b.iloc[at : at + 2000]
+                x = np.stack(part["vec"])
+                x = np.column_stack((x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros(len(x)))).astype("<f2")
+                yield pd.DataFrame({"q": part["node"], "query": [r.tobytes() for r in x]})
+
+    return nodes.select("node", "vec").mapInPandas(run, "q long, query binary")
+
+
 def search(graph: DataFrame, nodes: DataFrame, start: DataFrame, beam: int = 64, expand: int = 8, rounds: int = 5, reverse: int = 16) -> DataFrame:
     """(q, query: half-precision bytes, ids to start from) -> q, and the ids of its final beam."""
     edges = graph.select(F.col("node").alias("v"), F.explode("ids").alias("u"))
@@ -230,9 +246,12 @@ def search(graph: DataFrame, nodes: DataFrame, start: DataFrame, beam: int = 64,
 
 def nearest(graph: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, k: int = 20, **settings: int) -> DataFrame:
     """(query_id, node) queries that are rows themselves -> query_id, rank, vec_id, score of the k nearest others."""
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    longest = [r["node"] for r in nodes.orderBy(square.desc(), "node").select("node").limit(LONG_STARTS).collect()]
     asked = queries.select(F.col("node").alias("q")).distinct()
-    start = asked.join(nodes.select(F.col("node").alias("q"), F.col("v").alias("query")), "q").join(graph.select(F.col("node").alias("q"), "ids"), "q", "left")
-    start = start.withColumn("ids", F.concat(F.array("q"), F.coalesce("ids", F.array().cast("array<long>"))))
+    start = asked.join(_as_queries(nodes), "q").join(graph.select(F.col("node").alias("q"), "ids"), "q", "left")
+    long_starts = F.array(*map(F.lit, longest)).cast("array<long>")
+    start = start.withColumn("ids", F.concat(F.array("q"), F.coalesce("ids", F.array().cast("array<long>")), long_starts))
     found = search(graph, nodes, start, **settings).select("q", F.explode("ids").alias("node"))
     exact = found.join(nodes.select("node", "vec"), "node").join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("query")), "q")
     dot = F.aggregate(F.zip_with("vec", "query", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
