@@ -6,7 +6,10 @@ literal, and every task keeps its best before anything moves. LSH buckets are an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,12 +78,19 @@ def planes(dim: int, tables: int, bits: int, seed: int = 1337) -> list[list[list
 
 
 def signatures(vectors: DataFrame, hyperplanes: list[list[list[float]]]) -> DataFrame:
-    """V7: (table, signature, id) buckets; a bit is 1 if the projection isn't negative."""
-    per_table = [
-        sum((F.when(dot("vec", F.array(*[F.lit(x) for x in plane])) >= 0, F.lit(1 << b)).otherwise(0) for b, plane in enumerate(table)), F.lit(0))
-        for table in hyperplanes
-    ]
-    return vectors.select("id", F.posexplode(F.array(*per_table)).alias("table", "signature"))
+    """V7: (id, table, signature) buckets; a bit is 1 if the projection isn't negative. One matrix product a batch."""
+    stacked = np.array(hyperplanes)
+    tables, bits, dim = stacked.shape
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                above = np.stack(b["vec"]).astype(np.float64) @ stacked.reshape(-1, dim).T >= 0
+                codes = above.reshape(-1, tables, bits) @ (1 << np.arange(bits))
+                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), tables), "table": np.tile(np.arange(tables), len(b)), "signature": codes.ravel()})
+
+    rows = vectors.select("id", "vec").filter(F.size("vec") == dim)
+    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, table int, signature int")
 
 
 def ann_topk(vectors: DataFrame, queries: DataFrame, hyperplanes: list, k: int, overfetch: int = 5, allowed: DataFrame | None = None) -> DataFrame:
