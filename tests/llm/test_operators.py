@@ -284,7 +284,7 @@ def test_pii_collisions_are_resolved(spark):
     units = spark.createDataFrame(ips, "canon string").select(F.lit("ip").alias("kind"), "canon")
     late = {r.canon: r.attempt for r in pii.assign_attempts(units, "k").collect()}
     assert late  # 81 of 6561 surrogates collide with each other or with an original
-    made = units.withColumn("attempt", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in late.items() for x in kv]), "canon"), F.lit(0)))
+    made = units.withColumn("attempt", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in late.items() for x in kv]), F.col("canon")), F.lit(0)))
     new = [r.s for r in made.select(pii.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k").alias("s")).collect()]
     assert len(set(new)) == len(new) and not set(new) & {x for (x,) in ips}
     table = spark.createDataFrame([(i, f"at {x} now") for i, (x,) in enumerate(ips)], "doc_id long, text string")
