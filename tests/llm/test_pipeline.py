@@ -17,7 +17,7 @@ EMAIL = re.compile(r"[\w.]+@mail\d\.example\.com")
 def sf_dir(spark, tmp_path_factory):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").toPandas()
     first = docs.text.iloc[0]
-    planted = [(9001, first, "fr", "src0"), (9002, first.replace("\n", " ") + " end", "fr", "src0"), (9003, None, "en", "src1"), (9004, "12 !? 34", None, None), (9005, docs.text.iloc[3] + " write to ab.cd@mail1.example.com now", None, None), (None, "", "en", "src2")]
+    planted = [(9001, first, "fr", "src0"), (9002, first.replace("\n", " ") + " end", "fr", "src0"), (9003, None, "en", "src1"), (9004, "12 !? 34", None, None), (9005, " ".join(reversed(docs.text.iloc[3].split())) + " write to ab.cd@mail1.example.com now", None, None), (None, "", "en", "src2")]
     planted.append(planted[0])
     rows = [tuple(r) for r in docs[["doc_id", "text", "lang", "source"]].itertuples(index=False)] + planted
     path = tmp_path_factory.mktemp("pipeline")
