@@ -12,16 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.copies import copy_groups
 from tessera.llm.language import learn_from_documents, predict
 from tessera.llm.mixing import mix, taken_texts, word_count
 from tessera.llm.packing import pack_documents
 from tessera.llm.pii import QUERY_KEY, replace_pii
-from tessera.llm.simhash import simhash_groups
 from tessera.storage import materialize
 
 #: Share of a text's n-grams that must be known to its language; documents below are in none of them.
 LEAST_SCORE = 0.2
-SHINGLE_WORDS, RADIUS = 5, 4
+#: Near copies are texts of this Jaccard similarity of word shingles.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -36,7 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near copies the document with the smallest doc_id."""
-    groups = simhash_groups(docs, ngram=SHINGLE_WORDS, radius=RADIUS)
+    groups = copy_groups(docs, ngram=SHINGLE_WORDS, least=SIMILARITY)
     kept = groups.select(F.col("component_key").alias("_key"), F.col("first_text").alias("_text")).distinct()
     keyed = docs.withColumn("_t", F.xxhash64("text"))
     stay = keyed.join(kept, keyed.doc_id.eqNullSafe(kept["_key"]) & (keyed["_t"] == kept["_text"]), "left_semi")
