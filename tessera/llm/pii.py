@@ -2,13 +2,13 @@
 
 Detected entities are cut into units (a person's given name and surname are two units, all else is one).
 A unit's surrogate is a keyed hash of its canonical form poured into its own format: digits for digits,
-letters for letters, hexadecimal for hexadecimal, octets for octets, a valid check digit for a card, names
+letters for letters, hexadecimal for hexadecimal, letters for the marks of a secret, octets for octets, a valid check digit for a card, names
 of the same gender and script. So one unit gets one surrogate wherever it stands and however it is
 written, and "Mr Smith" goes with "John Smith".
 
 Collisions: all units of the corpus are gathered (distinct, pre-aggregated). If two share a surrogate, or a
 surrogate is somebody's original, all but the first by canonical form take the next attempt of the hash, until
-no collision is left. Only units past attempt 0 are joined back to their documents; the rest of the
+no collision is left. Later attempts draw from ever larger spaces, so this ends also where a format has few surrogates. Only units past attempt 0 are joined back to their documents; the rest of the
 corpus is rewritten in one projection without any shuffle of texts.
 
 Defined cases: null text stays null; a text without entities is returned unchanged, byte for byte; digit runs
@@ -66,14 +66,16 @@ def _numbers(*parts: Column | str) -> Column:
     return _let(digest, lambda d: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.conv(F.substr(d, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
 
-def _like(text: Column, numbers: Column, keep: Column) -> Column:
-    """Keyed characters of the same classes; the first `keep` stay. Hexadecimal stays hexadecimal."""
+def _like(text: Column, numbers: Column, keep: Column, marks: Column) -> Column:
+    """Keyed characters of the same classes; the first `keep` stay. Hexadecimal stays hexadecimal.
+
+    Where `marks` holds, all other characters become small letters."""
 
     def one(c: Column, i: Column) -> Column:
         n = F.get(numbers, i % 64)
         pick = lambda first, size: F.char(F.lit(ord(first)) + n % size)
         small = F.when(text.rlike("^[0-9a-f]+$"), pick("a", 6)).otherwise(pick("a", 26))
-        return F.when(i < keep, c).when(c.between("0", "9"), pick("0", 10)).when(c.between("a", "z"), small).when(c.between("A", "Z"), pick("A", 26)).otherwise(c)
+        return F.when(i < keep, c).when(c.between("0", "9"), pick("0", 10)).when(c.between("a", "z"), small).when(c.between("A", "Z"), pick("A", 26)).when(marks, small).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -89,8 +91,10 @@ def _luhn_sum(digits: Column) -> Column:
 
 
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """The canonical surrogate of a unit."""
-    octet = lambda o, n: (F.when(F.length(o) == 1, 1 + n % 9).when(F.length(o) == 2, 10 + n % 90).otherwise(100 + n % 155)).cast("string")
+    """The canonical surrogate of a unit. Later attempts draw from larger spaces: they are longer, and the octets of an IP are any."""
+    late = F.greatest(F.lit(0), attempt - F.when(kind == "secret", 0).when(kind.isin("email", "phone", *ENDINGS), 3).otherwise(15))
+    pad = F.repeat(F.when(kind.isin("phone", "card", "ssn"), "0").when(kind.isin("aws", "iban"), "A").otherwise("a"), late)
+    octet = lambda o, n: (F.when(attempt > 3, 1 + n % 254).when(F.length(o) == 1, 1 + n % 9).when(F.length(o) == 2, 10 + n % 90).otherwise(100 + n % 155)).cast("string")
     keep = F.when(kind == "aws", 4).when(kind == "iban", 2).when(kind.isin("phone", "card"), 1).otherwise(0)
     domain = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit("domain"), F.substring_index(canon, "@", -1)), 256), 1, 8)
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
@@ -102,8 +106,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         return F.concat(body, ((10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10).cast("string"))
 
     def made(numbers: Column) -> Column:
-        like = _let(_like(F.substring_index(canon, "@", 1), numbers, keep), lambda t: F.when(kind == "email", F.concat(t, F.lit("@m"), domain, F.lit(".example.com"))).when(kind == "card", checked(t)).otherwise(t))
-        name = F.concat(F.array_join(F.transform(F.slice(numbers, 1, 4), lambda n: F.get(syllables, n % F.size(syllables))), ""), F.element_at(endings, F.concat_ws(" ", kind, script)))
+        like = _let(_like(F.concat(F.when(kind == "email", F.substring_index(canon, "@", 1)).otherwise(canon), pad), numbers, keep, kind == "secret"), lambda t: F.when(kind == "email", F.concat(t, F.lit("@m"), domain, F.lit(".example.com"))).when(kind == "card", checked(t)).otherwise(t))
+        name = F.concat(F.array_join(F.transform(F.slice(numbers, 1, 4 + F.least(late, F.lit(60))), lambda n: F.get(syllables, n % F.size(syllables))), ""), F.element_at(endings, F.concat_ws(" ", kind, script)))
         return F.when(kind == "ip", F.array_join(F.zip_with(F.split(canon, r"\."), F.slice(numbers, 1, 4), octet), ".")).when(kind.isin(*ENDINGS), name).otherwise(like)
 
     return _let(_numbers(key, kind, canon, attempt.cast("string")), made)
@@ -112,7 +116,7 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
 def _pour(shape: Column, kind: Column, canon: Column) -> Column:
     """A canonical surrogate written as the original is: its blanks and marks, its capitals."""
     step = lambda acc, c: F.when(c.between("0", "9") | c.between("A", "Z") | c.between("a", "z"), F.struct(F.concat(acc.out, F.substr(canon, acc.i + 1, F.lit(1))).alias("out"), (acc.i + 1).alias("i"))).otherwise(F.struct(F.concat(acc.out, c).alias("out"), acc.i.alias("i")))
-    spaced = F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step).out
+    spaced = F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), step, lambda acc: F.concat(acc.out, F.substr(canon, acc.i + 1)))
     named = kind.isin(*ENDINGS)
     return F.when(kind.isin("phone", "card", "iban"), spaced).when(named & (shape == F.upper(shape)), F.upper(canon)).when(named, F.concat(F.upper(F.substring(canon, 1, 1)), F.substr(canon, F.lit(2)))).otherwise(canon)
 

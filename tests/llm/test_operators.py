@@ -291,6 +291,22 @@ def test_pii_collisions_are_resolved(spark):
     assert {r.text for r in pii.replace_pii(table, "k").collect()} == {f"at {s} now" for s in new}
 
 
+def test_pii_ends_where_formats_are_narrow(spark):
+    secrets = ["********", "------", "@dm1n!x", "@other!y", "пароль-тут", "P@ssw0rd", *[f"{c}@secret{i}" for i, c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZ" * 2)]]
+    rows = [(i, f"password={s}") for i, s in enumerate(secrets)]
+    out = [r.text.removeprefix("password=") for r in pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(out)) == len(secrets) and not set(out) & set(secrets) and all(out)
+    assert not any(set(s) & set("@*-!пароль") for s in out)
+    # whole spaces of surrogates are originals, or two groups share one
+    full = [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)] + [("phone", f"1{i:04}") for i in range(10_000)]
+    units = spark.createDataFrame(full, "kind string, canon string")
+    late = {(r.kind, r.canon): r.attempt for r in pii.assign_attempts(units, "k").collect()}
+    made = spark.createDataFrame([(*u, late.get(u, 0)) for u in full], "kind string, canon string, attempt int").select("kind", pii.surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), "k").alias("s")).collect()
+    assert len({(r.kind, r.s) for r in made}) == len(full) and not {(r.kind, r.s) for r in made} & set(full)
+    poured = spark.createDataFrame([("+1 23 45", "1987654")], "shape string, canon string").select(pii._pour(F.col("shape"), F.lit("phone"), F.col("canon")).alias("s")).first().s
+    assert poured == "+1 98 7654"
+
+
 # --- 9 SimHash
 
 
