@@ -14,80 +14,155 @@ table gives an empty result; other columns are not carried.
 
 from __future__ import annotations
 
+import json
+import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 from math import ceil
-from unicodedata import is_normalized
+from unicodedata import is_normalized, normalize
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW = 2048
 END_ID = 1
-#: Words, and runs of letters, kept with their ids in each Python worker.
-KNOWN_WORDS, KNOWN_CORES = 400_000, 250_000
-_KNOWN: dict[str, tuple] = {}
-
-
-MARKS = ".,;:!?"
-
-
-def _ids(encoding) -> bytes:
-    return np.array(encoding.ids, "<u4").tobytes()
-
-
-def _learn(tokenizer, known: dict[bytes, bytes], cores: dict[str, bytes], new: set[bytes]) -> None:
-    """Put the ids of new words into known.
-
-    A run of letters is one piece to the pre-tokenizer, and so are the marks behind it. Letters are looked up
-    in lower case, where that gives the same ids, and unseen ones are encoded many at once; the encoding
-    tells which ids belong to which run. Any other word is encoded by itself.
+#: Bytes of words and ids remembered in each Python worker, and what an entry costs besides; longer words are not kept.
+KNOWN_BYTES, ENTRY_BYTES, LONGEST_KEPT = 96 << 20, 200, 64
+#: Characters, and words, that go to the tokenizer at once.
+PART_CHARS, WORDS_AT_ONCE = 1 << 22, 48
+# The normalizer and the pre-tokenizer for which texts may be cut into words here.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The same cut for texts of Latin, Greek and Cyrillic letters and common marks.
+WORDS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_\u00b2\u00b3\u00b9\u00bc-\u00be]+|[\d\u00b2\u00b3\u00b9\u00bc-\u00be]|(?:[^\s\w]|_)+")
+#: Other characters, a capital sigma (its small form depends on the place) and separators that engines see differently.
+OTHER = re.compile(r"[^\x00-\x1b\x20-\u03a2\u03a4-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]")
+
+
+class WordIds:
+    """Ids of texts, with a memory of words.
+
+    The pre-tokenizer cuts a text into words and the ids of a text are those of its words one after another,
+    so words are remembered and only new ones go to the tokenizer, many at once. Texts with characters
+    beyond OTHER or with one of the tokenizer's own marks, and texts for any other kind of tokenizer, go to it whole.
     """
-    whole, split = [], []
-    for w in new:
-        text = w.decode()
-        core = text.rstrip(MARKS)
-        if core.isalpha() and "\u03a3" not in core and is_normalized("NFC", core) and is_normalized("NFC", low := core.lower()) and low.isalpha():
-            split.append((w, low, text[len(core) :]))
-        else:
-            whole.append(w)
-    unseen = list({low for _, low, _ in split if low not in cores})
-    for at in range(0, len(unseen), 512):
-        part = unseen[at : at + 512]
-        e = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        borders = np.searchsorted(np.array(e.word_ids), np.arange(len(part) + 1))
-        cores.update({low: ids[i:j].tobytes() for low, i, j in zip(part, borders, borders[1:], strict=False)})
-    for marks in {m for _, _, m in split} - cores.keys():
-        cores[marks] = _ids(tokenizer.encode(marks, add_special_tokens=False))
-    known.update({w: cores[low] + cores[marks] for w, low, marks in split})
-    for w in whole:
-        known[w] = _ids(tokenizer.encode(w.decode(), add_special_tokens=False))
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        steps = [x["type"] for x in (made.get("normalizer") or {}).get("normalizers", [])]
+        cuts = [x.get("pattern", {}).get("Regex") for x in (made.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.whole, self.known, self.held = Tokenizer.from_file(path), {}, 0
+        self.words = Tokenizer.from_file(path) if steps == NORMALIZER and cuts == [SPLIT, None] and made["model"].get("end_of_word_suffix") else None
+        if self.words:
+            self.marks = [x["content"] for x in made.get("added_tokens", [])]
+            self.words.normalizer = normalizers.Sequence([])
+            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(self.whole.get_vocab_size(with_added_tokens=True), bool)  # of each id, whether it ends a word
+            for token, i in self.whole.get_vocab().items():
+                self.last[i] = token.endswith(made["model"]["end_of_word_suffix"])
+
+    @staticmethod
+    def size(words: Iterable[str], ids: Iterable[bytes]) -> int:
+        return sum(map(len, words)) + sum(len(x) + ENTRY_BYTES for x in ids)
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def small(self, text: str) -> str | None:
+        """The text in small letters, or None if it has to go to the tokenizer whole."""
+        if not self.words or OTHER.search(text) or any(m in text for m in self.marks):
+            return None
+        return (text if is_normalized("NFC", text) else normalize("NFC", text)).lower()
+
+    def encode(self, new: list[str]) -> None:
+        """Remember the ids of words that the pre-tokenizer would not cut."""
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(part) and stops[-1] == len(ids):
+                raw, stops = ids.tobytes(), (stops * 4).tolist()
+                self.known.update({w: raw[i:j] for w, i, j in zip(part, [0, *stops], stops, strict=False)})
+            else:
+                self.known.update(zip(part, self.plain(part), strict=True))
+
+    def learn(self, new: list[str]) -> list[str]:
+        """Remember the ids of words; returns these and the pieces that had to be learned for them."""
+        known, pieces, cut = self.known, set(), {}
+        for w in new:
+            if w.isalpha():
+                pieces.add(w)
+            else:
+                core = w.rstrip(".,;:!?")
+                cut[w] = (core, w[len(core) :]) if core.isalpha() else WORDS.findall(w)
+        pieces.update(chain.from_iterable(cut.values()))
+        unseen = list(pieces.difference(known))
+        self.encode(unseen)
+        known.update({w: b"".join([known[x] for x in by]) for w, by in cut.items()})
+        return unseen + [w for w in cut if w not in pieces]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        small = [self.small(t or "") for t in texts]
+        whole = [i for i, t in enumerate(small) if t is None]
+        split = pc.utf8_split_whitespace(pa.array([t or "" for t in small], pa.string()))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self.learn([w for w in words if w not in self.known])
+        ids = [self.known[w] for w in words]
+        out = gather(ids, coded.indices.to_numpy(), split.value_lengths().to_numpy())
+        for i, raw in zip(whole, self.plain([texts[i] for i in whole]) if whole else (), strict=True):
+            out[i] = raw
+        for w in [w for w in new if len(w) > LONGEST_KEPT]:
+            del self.known[w]
+        kept = [w for w in new if len(w) <= LONGEST_KEPT]
+        self.held += self.size(kept, map(self.known.get, kept))
+        if self.held > KNOWN_BYTES:  # the older half goes; common words soon return
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            self.held = self.size(self.known, self.known.values())
+        return out
+
+
+def gather(ids: list[bytes], index: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Of each text the ids of its words: index has the words of all texts in a row, counts how many each has."""
+    sizes = np.array([len(x) // 4 for x in ids], np.int64)
+    flat, starts = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+    n = sizes[index]
+    stops = np.concatenate(([0], np.cumsum(n)))
+    raw = flat[np.repeat(starts[index] - stops[:-1], n) + np.arange(stops[-1])].tobytes()
+    borders = (4 * stops[np.concatenate(([0], np.cumsum(counts)))]).tolist()
+    return [raw[i:j] for i, j in zip(borders, borders[1:], strict=False)]
+
+
+_TOKENIZERS: dict[str, WordIds] = {}
 
 
 def word_ids(path: str, texts: list[str | None]) -> list[bytes]:
-    """The ids of each text as little-endian 32-bit numbers.
+    """The ids of each text as little-endian 32-bit numbers."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = WordIds(path)
+    return _TOKENIZERS[path](texts)
 
-    The pre-tokenizer drops white space and never looks across it, so a text's ids are those of its words one
-    after another; words are remembered, and only new ones go to the tokenizer.
-    """
-    if path not in _KNOWN:
-        from tokenizers import Tokenizer
-
-        _KNOWN[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, known, cores = _KNOWN[path]
-    split = [(t or "").encode().split() for t in texts]
-    new = set().union(*split).difference(known)
-    for held, most in ((known, KNOWN_WORDS), (cores, KNOWN_CORES)):
-        if len(held) + len(new) > most:
-            for w in list(held)[::2]:  # half of them go; common words soon return
-                del held[w]
-            new = set().union(*split).difference(known)
-    _learn(tokenizer, known, cores, new)
-    return [b"".join(map(known.__getitem__, words)) for words in split]
+
+def parts(texts: list[str | None], rows: int = 1024, chars: int = PART_CHARS) -> Iterator[slice]:
+    """Slices of so many texts and characters at most, or of one text."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and (i - start == rows or held + n > chars):
+            yield slice(start, i)
+            start, held = i, 0
+        held += n
+    if start < len(texts):
+        yield slice(start, len(texts))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
@@ -97,10 +172,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for at in range(0, len(b), 512):
-                part = b.iloc[at : at + 512]
+            texts = list(b["text"])
+            for part in parts(texts):
                 out = []
-                for k, ids in zip(part["key"], word_ids(tokenizer, list(part["text"])), strict=True):
+                for k, ids in zip(b["key"].iloc[part], word_ids(tokenizer, texts[part]), strict=True):
                     ids += end
                     n = len(ids) // 4
                     out += [(k, s, min(window, n - s), n, ids[4 * s : 4 * (s + window)]) for s in range(0, n, window)]
