@@ -38,6 +38,8 @@ NGRAM = 8
 #: An odd multiplier for hashes of word runs, and its inverse modulo 2^64: fixed values, any such pair would do.
 STEP = 0x9E3779B97F4A7C15
 INVERSE = pow(STEP, -1, 1 << 64)
+#: Characters of partners' words that a task gives on at once.
+BATCH_CHARS = 1 << 22
 #: A unit's place is one number: first window << 5 | windows - 1.
 FIRST = 5
 
@@ -150,24 +152,31 @@ def _on_document(docs: DataFrame, other: DataFrame, how: str, names: tuple[str,
     return docs.join(right, docs.key.eqNullSafe(right["_key"]) & (docs.t == right["_t"]), how).drop("_key", "_t")
 
 
-def _partners(docs: DataFrame, chained: DataFrame, length: int) -> DataFrame:
-    """Chains -> key, t, start, lead and words: the partner's words from lead words before the chain to `length` words behind it."""
-    asked = chained.withColumnsRenamed({"key": "dkey", "t": "dt"})
-    met = _on_document(docs, asked, "inner", ("pkey", "pt")).select("dkey", "dt", "start", "stop", "pstart", "key", "t", "text")
+def _partners(docs: DataFrame, chained: DataFrame, length: int, at_once: int = 256) -> DataFrame:
+    """Chains -> key, t, start, lead and words: the partner's words from lead words before the chain to `length` words behind it.
+
+    A partner's text is read once for about `at_once` chains; one with more of them is joined several times."""
+    counts = chained.groupBy("pkey", "pt").agg(F.ceil(F.count("*") / at_once).alias("parts")).withColumnsRenamed({"pkey": "_pkey", "pt": "_pt"})
+    sized = chained.join(counts, F.col("pkey").eqNullSafe(F.col("_pkey")) & (F.col("pt") == F.col("_pt")))
+    part = F.pmod(F.xxhash64("key", "t", "start"), F.col("parts"))
+    asked = sized.groupBy("pkey", "pt", part.alias("part")).agg(F.collect_list(F.struct("key", "t", "start", "stop", "pstart")).alias("asked"))
+    met = _on_document(docs, asked, "inner", ("pkey", "pt")).select("key", "text", "asked")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, words = None, []
+        columns = ["key", "t", "start", "lead", "words"]
         for b in batches:
-            lead = np.minimum(b["pstart"].to_numpy(), length)
-            lead = np.minimum(lead, b["start"].to_numpy())
-            out = []
-            for text, p, n, size in zip(b["text"], b["pstart"], lead, b["stop"] - b["start"], strict=True):
-                if text is not held:
-                    if text != held:  # rows of one partner mostly follow each other
-                        words = split_words(text)
-                    held = text
-                out.append(b" ".join(words[p - n : p + size + length]).decode())
-            yield pd.DataFrame({"key": b["dkey"], "t": b["dt"], "start": b["start"], "lead": lead, "words": out})
+            out, held = [], 0
+            for text, chains_ in zip(b["text"], b["asked"], strict=True):
+                words = split_words(text)
+                for c in chains_:
+                    lead = min(c["pstart"], c["start"], length)
+                    found = b" ".join(words[c["pstart"] - lead : c["pstart"] + c["stop"] - c["start"] + length]).decode()
+                    out.append((c["key"], c["t"], c["start"], lead, found))
+                    held += len(found)
+                if held > BATCH_CHARS:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, held = [], 0
+            yield pd.DataFrame(out, columns=columns)
 
     return met.mapInPandas(run, f"key {_kind(docs)}, t long, start long, lead long, words string")
 
