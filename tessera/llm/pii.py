@@ -8,12 +8,13 @@ written, and "Mr Smith" goes with "John Smith".
 
 Collisions: all units of the corpus are gathered (distinct, pre-aggregated). If two share a surrogate, or a
 surrogate is somebody's original, all but the first by canonical form take the next attempt of the hash, until
-no collision is left. Later attempts draw from ever larger spaces, so this ends also where a format has few surrogates. Only units past attempt 0 are joined back to their documents; the rest of the
-corpus is rewritten in one projection without any shuffle of texts.
+no collision is left; all names are one space. Later attempts draw from ever larger spaces, so this ends also where a format
+has few surrogates. Texts without entities never move. Texts with entities are joined by a hash to the attempts past the
+first, if there are any; else they are rewritten in one projection.
 
 Defined cases: null text stays null; a text without entities is returned unchanged, byte for byte; digit runs
 that fail the card check stay; null and repeated keys are served by their text; an empty table
-gives an empty result; other columns pass through unchanged; columns named entities or attempts are replaced.
+gives an empty result; other columns pass through unchanged; n_entities is replaced, and _found and _attempts are dropped.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from pyspark.sql import functions as F
 
 from tessera.storage import materialize, release
 
-# Patterns of the entities. Each starts where a run starts and never backtracks into it.
-EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
+# Patterns of the entities. Each starts where a run starts and never backtracks into it. Unbounded repeats
+# are of single characters only: the engine recurses for repeated groups, and a long text would end the executor.
+EMAIL = r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 SECRET = r"(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)[^\s\"']{6,}"
 AWS = r"\bAKIA[0-9A-Z]{16}\b"
 IBAN = r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"
@@ -71,13 +73,14 @@ def _like(text: Column, numbers: Column, keep: Column, marks: Column) -> Column:
 
     Where `marks` holds, all other characters become small letters."""
 
-    def one(c: Column, i: Column) -> Column:
+    def one(c: Column, i: Column, letters: Column) -> Column:
         n = F.get(numbers, i % 64)
         pick = lambda first, size: F.char(F.lit(ord(first)) + n % size)
-        small = F.when(text.rlike("^[0-9a-f]+$"), pick("a", 6)).otherwise(pick("a", 26))
+        small = pick("a", letters)
         return F.when(i < keep, c).when(c.between("0", "9"), pick("0", 10)).when(c.between("a", "z"), small).when(c.between("A", "Z"), pick("A", 26)).when(marks, small).otherwise(c)
 
-    return F.array_join(F.transform(F.split(text, ""), one), "")
+    # how many letters there are to pick from is worked out once for the whole text
+    return _let(F.when(text.rlike("^[0-9a-f]+$"), 6).otherwise(26), lambda letters: F.array_join(F.transform(F.split(text, ""), lambda c, i: one(c, i, letters)), ""))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -166,39 +169,55 @@ def _rewrite(text: Column, attempts: Column, key: str) -> Column:
     return F.array_join(F.zip_with(F.split(text, ANY, -1), new, lambda gap, n: F.concat(gap, F.coalesce(n, F.lit("")))), "")
 
 
-def assign_attempts(found: DataFrame, key: str) -> DataFrame:
-    """(kind, canon) units -> kind, canon, attempt of those past attempt 0."""
-    state = materialize(found.groupBy("kind", "canon").agg(F.lit(0).alias("attempt")).withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "units")
-    while True:
-        shared = state.groupBy("kind", "new").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        clash = state.join(shared, ["kind", "new"]).filter((F.col("canon") != F.col("first.canon"))).select("kind", "canon")
-        taken = state.join(state.select("kind", F.col("canon").alias("new")), ["kind", "new"], "left_semi").select("kind", "canon")
+def _space(kind: Column) -> Column:
+    """Kinds whose surrogates must differ from each other's and from each other's originals: all names are one."""
+    return F.when(kind.isin(*ENDINGS), "name").otherwise(kind)
+
+
+def assign_attempts(found: DataFrame, key: str, most: int = 200) -> DataFrame:
+    """(kind, canon) units -> kind, canon, attempt of those past attempt 0.
+
+    After `most` rounds there is no free surrogate left in some format (more different IPs than there are
+    addresses, for one), and the job fails with a message."""
+    distinct = found.groupBy("kind", "canon").agg(F.lit(0).alias("attempt"))
+    with_new = lambda units: units.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)).withColumn("space", _space(F.col("kind")))
+    state = materialize(with_new(distinct), "units")
+    for _ in range(most):
+        shared = state.groupBy("space", "new").agg(F.min(F.struct("attempt", "canon", "kind")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        clash = state.join(shared, ["space", "new"]).filter((F.col("canon") != F.col("first.canon")) | (F.col("kind") != F.col("first.kind"))).select("kind", "canon")
+        taken = state.join(state.select("space", F.col("canon").alias("new")), ["space", "new"], "left_semi").select("kind", "canon")
         again = materialize(clash.unionByName(taken).distinct().withColumn("again", F.lit(True)), "clashes")
         if again.isEmpty():
             return state.filter("attempt > 0").select("kind", "canon", "attempt")
         attempt = F.col("attempt") + F.when(F.col("again"), 1).otherwise(0)
         previous = state
-        state = state.join(again, ["kind", "canon"], "left").select("kind", "canon", attempt.alias("attempt"))
-        state = materialize(state.withColumn("new", surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key)), "units")
+        state = materialize(with_new(state.join(again, ["kind", "canon"], "left").select("kind", "canon", attempt.alias("attempt"))), "units")
         release(previous)
+    raise ValueError(f"no free surrogates after {most} attempts: " + ", ".join(r["kind"] for r in again.select("kind").distinct().collect()))
 
 
 def replace_pii(docs: DataFrame, secret_key: str, text: str = "text") -> DataFrame:
-    """docs with their text rewritten, and n_entities."""
-    found = docs.withColumn("_found", entities(F.col(text)))
-    flat = found.filter(F.size("_found") > 0).select(F.explode("_found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
-    exceptions = assign_attempts(flat.select(F.explode(units(F.col("entity"))).alias("u")).select("u.kind", "u.canon"), secret_key)
-    entry = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("key"), "attempt")
+    """docs with their text rewritten, and n_entities.
+
+    Entities are looked for once; the table of texts and entities is written."""
+    found = materialize(docs.drop("_found").withColumn("_found", entities(F.col(text))), "detected")
+    holds = F.coalesce(F.size("_found") > 0, F.lit(False))
+    with_any, without = found.filter(holds), found.filter(~holds)
+    flat = with_any.select(F.explode("_found").alias("entity")).groupBy("entity").agg(F.count("*").alias("n"))
+    unit = F.explode(units(F.col("entity"))).alias("u")
+    exceptions = assign_attempts(flat.select(unit).select("u.kind", "u.canon"), secret_key)
     if exceptions.isEmpty():
-        keyed = found.withColumn("_attempts", F.lit(None).cast("map<string,int>"))
+        keyed = with_any.withColumn("_attempts", F.create_map().cast("map<string,int>"))
     else:
-        within = found.filter(F.size("_found") > 0).select(F.xxhash64(text).alias("_t"), F.explode("_found").alias("entity")).withColumn("u", F.explode(units(F.col("entity")))).select("_t", "u.kind", "u.canon").distinct()
+        # texts with units past attempt 0 get a map of these; they are told by a hash, and a map of another text would be harmless
+        entry = F.struct(F.concat_ws("\x1f", "kind", "canon").alias("key"), "attempt")
+        within = with_any.select(F.xxhash64(text).alias("_t"), F.explode("_found").alias("entity")).select("_t", unit).select("_t", "u.kind", "u.canon").distinct()
         mapped = within.join(exceptions, ["kind", "canon"]).groupBy("_t").agg(F.map_from_entries(F.collect_set(entry)).alias("_attempts"))
-        keyed = found.withColumn("_t", F.xxhash64(text)).join(mapped, "_t", "left").drop("_t")
+        keyed = with_any.withColumn("_t", F.xxhash64(text)).join(mapped, "_t", "left").drop("_t")
     attempts = F.coalesce("_attempts", F.create_map().cast("map<string,int>"))
-    out = keyed.withColumn("_new", F.when(F.size("_found") > 0, _rewrite(F.col(text), attempts, secret_key)).otherwise(F.col(text)))
-    n = F.size("_found").cast("long").alias("n_entities")
-    return out.select(*[F.col("_new").alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_entities"], n)
+    n = F.coalesce(F.size("_found"), F.lit(0)).cast("long").alias("n_entities")
+    kept = lambda new: [new.alias(text) if c == text else F.col(c) for c in docs.columns if c not in ("n_entities", "_found")]
+    return keyed.select(*kept(_rewrite(F.col(text), attempts, secret_key)), n).unionByName(without.select(*kept(F.col(text)), n))
 
 
 QUERY_KEY = "tessera-check-key"
