@@ -1,14 +1,18 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-1. Texts become sets of shingle hashes once; equal sets become one row before anything is compared. The hashes are
-   spread evenly, so the least ones of a set are a sample of it, and so is the least of each 64th of their range (the sketch).
-2. Sets that share one of their least hashes meet. As many are taken as the prefix bound asks for (any two sets of the
-   similarity then share one), but TOKENS at most: of two sets at 0.8 all of these differ once in ten million pairs.
-   Of those that meet, sketches that agree by less than LIKELY, at 0.8 six standard deviations off, drop out, and what
-   is left is a spanning forest, never all pairs. Its components only say which sets to compare.
+"""Near copies of a Jaccard similarity of word shingles: SimHash tiles propose, whole sets decide.
+
+1. Texts become sets of shingle hashes once, and sets become fingerprints of 256 bits; equal sets become one row before
+   anything is compared.
+2. Fingerprints are compared tile by tile with exclusive-or and bit counts, as in simhash; tiles whose bit counts differ by
+   more than the radius are skipped. The radius follows from the similarity: of two sets at `least`, a bit differs with
+   probability p = arccos(2 least / (1 + least)) / pi, and DEVIATIONS standard deviations are added. At 0.8 that is 64 of 256
+   bits, where unrelated sets have 128 +- 8. The first 64 bits alone must be within a wider margin, which spares most
+   pairs the other three words. A pair of tiles reports a spanning forest, never all pairs; its components only say
+   which sets to compare.
 3. All sets of such a component are compared whole, a pair of blocks in a task, and a spanning forest of the exact links
    is reported. A failed link thus hides no other, and no link stands unchecked.
 
+Comparing all pairs of tiles is quadratic by its nature; a pair of fingerprints takes about a nanosecond.
+
 Defined cases: as in simhash; null or blank text has the empty set.
 """
 
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import accumulate
+from math import acos, ceil, pi, sqrt
 
 import numpy as np
 import pandas as pd
@@ -27,8 +32,11 @@ from tessera.llm.graphs import components
 from tessera.llm.simhash import SEED
 from tessera.storage import materialize
 
-TOKENS, BINS, LIKELY = 10, 64, 0.5
-EDGES = np.array([-(1 << 63) + (b << 58) for b in range(BINS)], np.int64)
+WORDS = ("w0", "w1", "w2", "w3")
+#: Bit counts are classed by so many; standard deviations of the radius, and of the first word's.
+CLASS_BITS, DEVIATIONS, FIRST_DEVIATIONS = 8, 4.4, 5.0
+#: Odd multipliers that make a hash four: fixed values, any others would do.
+SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def shingles(text: str | None, ngram: int = 5) -> np.ndarray:
@@ -42,13 +50,23 @@ def shingles(text: str | None, ngram: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(hashes, np.int64))
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """A byte of the least hash of each 64th of the range; 0 if there is none."""
-    at = np.searchsorted(hashes, EDGES)
-    filled = np.diff(np.append(at, len(hashes))) > 0
-    out = np.zeros(BINS, np.uint8)
-    out[filled] = hashes[at[filled]].view(np.uint64) % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Four words of majority bits; an empty set has zeros."""
+    if not len(hashes):
+        return np.zeros(4, np.int64)
+    h = hashes.view(np.uint64)[:, None] * SPREAD
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    set_bits = np.zeros(256, np.int64)
+    for at in range(0, len(h), 1 << 14):
+        set_bits += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * set_bits > len(h)).view(np.int64)
+
+
+def radius(least: float, bits: int, deviations: float) -> int:
+    """Differing bits that sets of that similarity keep within."""
+    p = acos(2 * least / (1 + least)) / pi
+    return ceil(bits * p + deviations * sqrt(bits * p * (1 - p)))
 
 
 def spanning(n_a: int, n_b: int, same: bool, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -70,20 +88,6 @@ def spanning(n_a: int, n_b: int, same: bool, near: Callable[[int, np.ndarray], n
     return left, right
 
 
-def likely(a: list[np.ndarray], b: list[np.ndarray], same: bool, least: float) -> tuple[list[int], list[int]]:
-    """Forest of pairs whose sketches and sizes allow the similarity; a and b: sizes and sketches."""
-    (n_a, s_a), (n_b, s_b) = a, b
-    none_a, none_b = s_a == 0, s_b == 0
-
-    def near(i: int, js: np.ndarray) -> np.ndarray:
-        fits = (n_b[js] >= least * n_a[i]) & (n_a[i] >= least * n_b[js])
-        empty = (none_b[js[fits]] & none_a[i]).sum(axis=1)
-        fits[fits] = (s_b[js[fits]] == s_a[i]).sum(axis=1) - empty >= LIKELY * (BINS - empty)
-        return fits
-
-    return spanning(len(n_a), len(n_b), same, near)
-
-
 def alike(a: list[np.ndarray], b: list[np.ndarray], same: bool, least: float) -> tuple[list[int], list[int]]:
     """Forest of pairs of sets of that Jaccard similarity."""
     sizes = np.array([len(x) for x in b], np.int64)
@@ -101,52 +105,65 @@ def alike(a: list[np.ndarray], b: list[np.ndarray], same: bool, least: float) ->
     return spanning(len(a), len(b), same, near)
 
 
-def _sets(docs: DataFrame, key: str, text: str, ngram: int, least: float) -> DataFrame:
-    """key, text_key, node (a hash of the set), its size, sketch and least hashes of every row."""
-    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                s = shingles(t, ngram)
-                prefix = len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1 if len(s) else 0
-                out.append((np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64), len(s), sketch(s), s[: min(prefix, TOKENS)]))
-            node, size, bits, tokens = zip(*out, strict=True) if out else ((),) * 4
-            yield pd.DataFrame({"key": b["key"], "text_key": b["text_key"], "node": np.array(node, np.int64), "size": np.array(size, np.int64), "sketch": list(bits), "tokens": list(tokens)})
-
-    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, text_key long, node long, size long, sketch binary, tokens array<long>")
-
+def near_tiles(a: list[np.ndarray], b: list[np.ndarray], first: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices into a and b) that connect what all links of at most `most` bits, and `first` in the first word, connect."""
+    label, left, right = np.arange(len(a[0]) + len(b[0])), [], []
+    step = max(1, (1 << 18) // max(1, len(b[0])))
+    for at in range(0, len(a[0]), step):
+        i, j = np.nonzero(np.bitwise_count(a[0][at : at + step, None] ^ b[0]) <= first)
+        i += at
+        bits = sum(np.bitwise_count(x[i] ^ y[j]).astype(np.int64) for x, y in zip(a, b, strict=True))
+        close = bits <= most
+        i, j = i[close], j[close]
+        while len(i):  # of links that join two components at present one stays, and the two become one
+            x, y = label[i], label[len(a[0]) + j]
+            apart = x != y
+            i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+            if len(i):
+                left.append(i[0])
+                right.append(j[0])
+                label[label == y[0]] = x[0]
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def candidates(distinct: DataFrame, least: float, tile_rows: int = 1 << 15) -> DataFrame:
+    """Distinct (node, bits, w0 .. w3) -> (u, v) links between sets that may have the similarity."""
+    most, first = radius(least, 256, DEVIATIONS), radius(least, 64, FIRST_DEVIATIONS)
+    classed = distinct.select("node", *WORDS, F.floor(F.col("bits") / CLASS_BITS).cast("int").alias("cls"))
+    classes = classed.groupBy("cls").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("subs"))  # 256 / CLASS_BITS + 1 rows at most
+    tiled = classed.join(F.broadcast(classes), "cls").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int"))
+    tiles = tiled.groupBy("cls", "sub").agg(*[F.collect_list(c).alias(c) for c in ("node", *WORDS)])
+    near = tiles.join(F.broadcast(classes.select(F.col("cls").alias("other"), F.col("subs").alias("other_subs"))), (F.abs(F.col("cls") - F.col("other")) - 1) * CLASS_BITS + 1 <= most)
+    near = near.withColumn("other_sub", F.explode(F.sequence(F.lit(0), F.col("other_subs") - 1)))
+    tile = lambda cls, sub: F.col(cls).cast("long") * (1 << 31) + F.col(sub)
+    near = near.withColumn("tile", tile("cls", "sub")).withColumn("partner", tile("other", "other_sub"))
+    pairs = near.select(F.least("tile", "partner").alias("a"), F.greatest("tile", "partner").alias("b"), "tile", "node", *WORDS)
 
-def _side(packed: list) -> list[np.ndarray]:
-    return [np.array([r["size"] for r in packed], np.int64), np.frombuffer(b"".join([bytes(r["sketch"]) for r in packed]), np.uint8).reshape(-1, BINS)]
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("tile")
+        x, y = group.iloc[0], group.iloc[-1]
+        side = lambda r: [np.asarray(r[c], np.int64).view(np.uint64) for c in WORDS]
+        i, j = near_tiles(side(x), side(y), first, most)
+        return pd.DataFrame({"u": np.asarray(x["node"], np.int64)[i], "v": np.asarray(y["node"], np.int64)[j]}, dtype=np.int64)
 
+    return pairs.groupBy("a", "b").applyInPandas(compare, "u long, v long").filter("u != v")
 
-def candidates(distinct: DataFrame, least: float, small: int = 256, tile_rows: int = 1 << 11) -> DataFrame:
-    """Distinct (node, size, sketch, tokens) -> (u, v) links between sets that may have the similarity."""
-    met = distinct.select("node", "size", "sketch", F.explode("tokens").alias("token"))
-    counts = met.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    subs = F.when(F.col("n") <= small, 1).otherwise(F.ceil(F.col("n") / tile_rows) + 1).cast("int")
-    met = met.join(counts, "token").withColumn("subs", subs).withColumn("sub", F.pmod(F.xxhash64("node"), "subs").cast("int"))
-    tiles = met.groupBy("token", "sub", "subs").agg(F.collect_list(F.struct("node", "size", "sketch")).alias("sets"))
 
-    def linked(x: list, y: list, same: bool) -> tuple[list[int], list[int]]:
-        i, j = likely(_side(x), _side(y), same, least)
-        return [x[k]["node"] for k in i], [y[k]["node"] for k in j]
+def _sets(docs: DataFrame, key: str, text: str, ngram: int) -> DataFrame:
+    """key, text_key, node (a hash of the set), fingerprint words and their bit count of every row."""
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
 
-    def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [linked(x, x, True) for x in b["sets"]]
-            yield pd.DataFrame({"u": np.array([n for f in found for n in f[0]], np.int64), "v": np.array([n for f in found for n in f[1]], np.int64)})
-
-    def many(group: pd.DataFrame) -> pd.DataFrame:
-        sides = list(group.sort_values("sub")["sets"])
-        u, v = linked(sides[0], sides[-1], len(sides) == 1)
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64)})
+            nodes, words = np.empty(len(b), np.int64), np.empty((len(b), 4), np.int64)
+            for i, t in enumerate(b["text"]):
+                s = shingles(t, ngram)
+                nodes[i] = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
+                words[i] = wide_fingerprint(s)
+            out = pd.DataFrame({"key": b["key"], "text_key": b["text_key"], "node": nodes, "bits": np.bitwise_count(words.view(np.uint64)).sum(axis=1, dtype=np.int64)})
+            yield out.assign(**{c: words[:, k] for k, c in enumerate(WORDS)})
 
-    other = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
-    pairs = tiles.filter("subs > 1").withColumn("other", other).select("token", F.least("sub", "other").alias("a"), F.greatest("sub", "other").alias("b"), "sub", "sets")
-    return tiles.filter("subs = 1").select("sets").mapInPandas(few, "u long, v long").unionByName(pairs.groupBy("token", "a", "b").applyInPandas(many, "u long, v long"))
+    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, text_key long, node long, bits long, " + ", ".join(f"{c} long" for c in WORDS))
 
 
 def links(docs: DataFrame, distinct: DataFrame, ngram: int, least: float, block_rows: int = 1 << 10) -> DataFrame:
@@ -176,9 +193,9 @@ def links(docs: DataFrame, distinct: DataFrame, ngram: int, least: float, block_
 
 def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, least: float = 0.8) -> DataFrame:
     """key, text_key and of its component: component_key (smallest key) and first_text (that row's text_key)."""
-    rows = materialize(_sets(docs, key, text, ngram, least), "shingles")
+    rows = materialize(_sets(docs, key, text, ngram), "shingles")
     order = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_key")).alias("least")
-    distinct = materialize(rows.groupBy("node").agg(order, *[F.first(c).alias(c) for c in ("size", "sketch", "tokens")]), "distinct")
+    distinct = materialize(rows.groupBy("node").agg(order, *[F.first(c).alias(c) for c in ("bits", *WORDS)]), "distinct")
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     roots = components(links(texts, distinct, ngram, least), "copies").withColumnRenamed("node", "_node")
     rooted = distinct.join(roots, distinct.node == roots["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))

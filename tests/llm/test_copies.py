@@ -52,13 +52,13 @@ def test_equal_to_brute_force(spark, planted):
 
 
 def test_blocks_and_tiles_lose_no_link(spark, planted):
-    """Hot hashes cut in tiles, and components cut in blocks, give what whole ones give."""
+    """Small tiles of fingerprints, and components cut in blocks, give what whole ones give."""
     rows, _ = planted
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     order = "min(struct(key IS NULL AS none, key, text_key)) AS least"
-    distinct = copies._sets(docs, "doc_id", "text", 5, 0.8).groupBy("node").agg(copies.F.expr(order), *[copies.F.first(c).alias(c) for c in ("size", "sketch", "tokens")]).cache()
+    distinct = copies._sets(docs, "doc_id", "text", 5).groupBy("node").agg(copies.F.expr(order), *[copies.F.first(c).alias(c) for c in ("bits", *copies.WORDS)]).cache()
     count = lambda d: copies.components(d).count()
-    assert count(copies.candidates(distinct, 0.8)) == count(copies.candidates(distinct, 0.8, small=1, tile_rows=2))
+    assert count(copies.candidates(distinct, 0.8)) == count(copies.candidates(distinct, 0.8, tile_rows=60))
     texts = docs.selectExpr("doc_id AS key", "xxhash64(text) AS text_key", "text")
     assert count(copies.links(texts, distinct, 5, 0.8)) == count(copies.links(texts, distinct, 5, 0.8, block_rows=2))
 

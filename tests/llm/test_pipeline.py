@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import packing, simhash
+from tessera.llm import copies, packing
 
 EMAIL = re.compile(r"[\w.]+@mail\d\.example\.com")
 
@@ -48,12 +47,16 @@ def test_language_rejects_texts_without_letters_only(stages):
 
 
 def test_near_dedup_keeps_the_first_of_each_group(stages):
+    """Groups are linked by a Jaccard similarity of 0.8 of sets of five-word shingles, by all pairs."""
     rows = stages["language"].drop_duplicates(["doc_id", "text"]).sort_values("doc_id")
-    fps = np.array([simhash.fingerprint(t, 5) for t in rows.text], np.int64).view(np.uint64)
-    close = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
-    label = np.arange(len(rows))
-    while (new := np.array([label[r].min() for r in close])).tolist() != label.tolist():
-        label = new
+    sets = [set(copies.shingles(t).tolist()) for t in rows.text]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
     want = {int(rows.doc_id.iloc[i]) for i in set(label)}
     assert set(stages["near_dedup"].doc_id) == want and len(stages["near_dedup"]) == len(want)
     assert not {9001, 9002} & want
