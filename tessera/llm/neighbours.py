@@ -3,14 +3,17 @@
 Equal vectors are one node, named by their smallest id, so a large group of copies is a single node and no
 list of neighbours fills with copies. The measure is the largest inner product: nodes get one more component that
 makes all norms equal, which turns it into nearness between nodes and leaves it as it is for queries.
+A node travels as its direction in half precision, its norm and that component in double precision, and scores between
+nodes are half the negative squared distance: however long one vector is, it takes no precision from the others.
 
-1. First lists: signs of random projections put nodes into blocks of bounded size, several times over;
-   in each block all compare with all.
+1. First lists: signs of random projections put nodes into a few small blocks; in each block all compare with all.
+   These lists are poor: they only spare the first rounds of a start from random lists.
 2. NN-descent: a node's neighbours and a bounded sample of those it is a neighbour of meet at that node, by
    joins; each pair with a fresh side is compared, and what beats a node's farthest neighbour goes back to it.
    Rounds end when few lists change. Every round is a written table.
 3. Search: each query keeps a beam of the best nodes seen, expands the best unexpanded ones by a join with
-   the graph, and scores the unseen neighbours. Scores of the final beams are worked out anew in double
+   the graph, and scores the unseen neighbours. It starts from its own neighbours and from the longest vectors, of which
+   there is a fixed number. Scores of the final beams are worked out anew in double
    precision on the original vectors, and nodes give way to their ids.
 
 The sample in 2 and the beam in 3 make the result approximate; tests measure the recall against brute force.
@@ -23,7 +26,6 @@ wanted are all returned; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from math import ceil, log2
 
@@ -52,7 +54,7 @@ def usable_vectors(rows: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def make_nodes(vectors: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (node, vec, v: half-precision bytes with the extra component), and (node, id) of each node's `copies` smallest ids."""
+    """Nodes (node, vec, v: packed as in pack_nodes), and (node, id) of each node's `copies` smallest ids."""
     ranked = vectors.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).filter(F.col("_n") <= copies)
     ranked = ranked.withColumn("node", F.first("id").over(Window.partitionBy("vec").orderBy("id")))
     ranked = materialize(ranked, "members")
@@ -64,9 +66,7 @@ def make_nodes(vectors: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                x = np.stack(part["vec"]) / np.sqrt(longest)
-                x = np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1))))).astype("<f2")
-                yield part.assign(v=[r.tobytes() for r in x])
+                yield part.assign(v=pack_nodes(np.stack(part["vec"]), longest))
 
     # an id with several vectors would give two nodes one name; a node's name is its id only if that is its own
     twice = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
@@ -77,8 +77,27 @@ def make_nodes(vectors: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
     return materialize(nodes.mapInPandas(run, "node long, vec array<double>, v binary"), "nodes"), ranked.select("node", "id")
 
 
-def _matrix(blobs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<f2").reshape(len(blobs), -1).astype(np.float32)
+def pack_nodes(x: np.ndarray, longest: float) -> list[bytes]:
+    """Rows as bytes: norm and extra component as doubles, then the direction in half precision; longest: the largest squared norm."""
+    square = (x * x).sum(axis=1)
+    norm = np.sqrt(square)
+    pair = np.column_stack((norm, np.sqrt(np.maximum(0, longest - square)))).astype("<f8")
+    return [a.tobytes() + b.tobytes() for a, b in zip(pair, (x / norm[:, None]).astype("<f2"), strict=True)]
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Directions (single precision), norms and extra components."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    pair = np.ascontiguousarray(raw[:, :16]).view("<f8")
+    return np.ascontiguousarray(raw[:, 16:]).view("<f2").astype(np.float32), pair[:, 0], pair[:, 1]
+
+
+def _between(a: tuple, b: tuple) -> np.ndarray:
+    """Half the negative squared distance of nodes, extra component included."""
+    (x, n, e), (y, m, f) = a, b
+    # |x|^2 + |y|^2 - 2 x y and the square of the difference of the extra components, each without cancellation against the longest
+    gap = e[:, None] - f[None, :]
+    return (-0.5 * (n[:, None] ** 2 + m[None, :] ** 2 + gap * gap) + (x @ y.T).astype(np.float64) * n[:, None] * m[None, :]).astype(np.float32)
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -115,7 +134,7 @@ def first_lists(nodes: DataFrame, k: int, trees: int, block: int, seed: int) ->
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                x = _matrix(list(part["v"]))
+                x = _unpack(list(part["v"]))[0]
                 planes = np.random.default_rng(seed).normal(size=(x.shape[1], trees, bits + 1)).astype(np.float32)
                 p = np.einsum("nd,dtb->tnb", x, planes)
                 for t in range(trees if bits else 1):
@@ -125,10 +144,10 @@ def first_lists(nodes: DataFrame, k: int, trees: int, block: int, seed: int) ->
     blocks = coded.withColumn("block", F.floor((F.row_number().over(Window.partitionBy("tree", "code").orderBy("place", "node")) - 1) / block).cast("int"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, ids = _matrix(list(group["v"])), group["node"].to_numpy()
+        x, ids = _unpack(list(group["v"])), group["node"].to_numpy()
         out_ids, out_scores = [], []
-        for at in range(0, len(x), 512):
-            s = x[at : at + 512] @ x.T
+        for at in range(0, len(ids), 512):
+            s = _between(tuple(c[at : at + 512] for c in x), x)
             s[np.arange(len(s)), np.arange(at, at + len(s))] = -np.inf
             top = _best(s, k)
             got = np.take_along_axis(s, top, 1)
@@ -150,7 +169,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, reverse: int, reply: int
     """One round of NN-descent."""
     edges = graph.select(F.col("node").alias("v"), F.explode(F.arrays_zip("ids", "fresh")).alias("e")).select("v", F.col("e.ids").alias("u"), F.col("e.fresh").alias("fresh"))
     met = edges.unionByName(_reversed(edges, reverse, F.desc("fresh")))
-    farthest = F.when(F.size("scores") < k, F.lit(-10.0)).otherwise(F.array_min("scores")).cast("float")
+    farthest = F.when(F.size("scores") < k, F.lit(float("-inf"))).otherwise(F.array_min("scores")).cast("float")
     known = nodes.select(F.col("node").alias("u"), "v").withColumnRenamed("v", "bytes").join(graph.select(F.col("node").alias("u"), farthest.alias("farthest")), "u")
     groups = met.join(known, "u").groupBy("v").agg(F.collect_list("u").alias("ids"), F.collect_list("fresh").alias("fresh"), F.collect_list("farthest").alias("farthest"), F.collect_list("bytes").alias("bytes"))
 
@@ -160,8 +179,8 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, reverse: int, reply: int
             for ids, fresh, farthest, blobs in zip(b["ids"], b["fresh"], b["farthest"], b["bytes"], strict=True):
                 ids, first = np.unique(ids, return_index=True)
                 fresh, farthest = np.asarray(fresh, bool)[first], np.asarray(farthest, np.float32)[first]
-                x = _matrix([blobs[i] for i in first])
-                s = x @ x.T
+                x = _unpack([blobs[i] for i in first])
+                s = _between(x, x)
                 s[~((fresh[:, None] | fresh[None, :]) & (s > farthest[:, None]))] = -np.inf
                 np.fill_diagonal(s, -np.inf)
                 top = _best(s, reply)
@@ -171,6 +190,8 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, reverse: int, reply: int
                     nodes_.append(ids[i])
                     ids_.append(ids[top[i][good]])
                     scores_.append(got[i][good])
+            if not nodes_:
+                continue
             yield pd.DataFrame({"node": nodes_, "ids": ids_, "scores": scores_, "fresh": [np.ones(len(i), bool) for i in ids_]})
 
     replies = groups.mapInPandas(compare, LISTS)
@@ -178,41 +199,39 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, reverse: int, reply: int
     return _merge(old.unionByName(replies), k)
 
 
-def build_graph(nodes: DataFrame, k: int = 24, trees: int = 16, block: int = 2048, reverse: int = 16, reply: int = 6, rounds: int = 8, changed: float = 0.02, seed: int = 5) -> DataFrame:
+def build_graph(nodes: DataFrame, k: int = 40, trees: int = 4, block: int = 64, reverse: int = 24, reply: int = 10, rounds: int = 12, changed: float = 0.01, seed: int = 5) -> DataFrame:
     """node, ids, scores of about k near neighbours of every node."""
     graph = materialize(first_lists(nodes, k, trees, block, seed), "graph")
-    if nodes.count() <= block:
-        return graph  # one block held all nodes: the lists are exact
     for _ in range(rounds):
         previous, graph = graph, materialize(descend(graph, nodes, k, reverse, reply), "graph")
         release(previous)
-        gc.collect()
-        nodes.sparkSession.sparkContext._jvm.System.gc()  # lets the context cleaner drop the round's shuffle files
-        if graph.agg(F.avg(F.aggregate("fresh", F.lit(0.0), lambda n, f: n + F.when(f, 1.0).otherwise(0.0)) / k)).first()[0] < changed:
+        if (graph.agg(F.avg(F.aggregate("fresh", F.lit(0.0), lambda n, f: n + F.when(f, 1.0).otherwise(0.0)) / k)).first()[0] or 0.0) < changed:
             break
     return graph
 
 
-def _as_queries(nodes: DataFrame) -> DataFrame:
-    """q, query: bytes as in make_nodes, scaled to length 1, with nothing in the extra component."""
+def _as_queries(nodes: DataFrame, longest: list) -> DataFrame:
+    """q, query (direction in half precision) and the beam to begin with: scores of the longest vectors, (node, v) rows."""
+    ids = np.array([r["node"] for r in longest], np.int64)
+    x, norm, _ = _unpack([bytes(r["v"]) for r in longest]) if len(ids) else (None, None, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 2000):
                 part = b.iloc[at : at + 2000]
-                x = np.stack(part["vec"])
-                x = np.column_stack((x / np.sqrt((x * x).sum(axis=1, keepdims=True)), np.zeros(len(x)))).astype("<f2")
-                yield pd.DataFrame({"q": part["node"], "query": [r.tobytes() for r in x]})
+                d = _unpack(list(part["v"]))[0]
+                scores = (d @ x.T) * norm.astype(np.float32)
+                yield pd.DataFrame({"q": part["node"], "query": [r.tobytes() for r in d.astype("<f2")], "long": [ids] * len(d), "scores": list(scores.astype(np.float32))})
 
-    return nodes.select("node", "vec").mapInPandas(run, "q long, query binary")
+    return nodes.select("node", "v").mapInPandas(run, "q long, query binary, long array<long>, scores array<float>")
 
 
-def search(graph: DataFrame, nodes: DataFrame, start: DataFrame, beam: int = 64, expand: int = 8, rounds: int = 5, reverse: int = 16) -> DataFrame:
-    """(q, query: half-precision bytes, ids to start from) -> q, and the ids of its final beam."""
+def search(graph: DataFrame, nodes: DataFrame, start: DataFrame, beam: int = 128, expand: int = 16, rounds: int = 5, reverse: int = 24) -> DataFrame:
+    """(q, query, long and scores as in _as_queries, ids to start from) -> q, and the ids of its final beam."""
     edges = graph.select(F.col("node").alias("v"), F.explode("ids").alias("u"))
     adjacent = materialize(edges.unionByName(_reversed(edges, reverse)).groupBy("v").agg(F.collect_set("u").alias("near")), "adjacent")
-    state = start.select("q", "query", F.array().cast("array<long>").alias("seen"), F.array().cast("array<long>").alias("ids"), F.array().cast("array<float>").alias("scores"), F.array().cast("array<boolean>").alias("done"), F.lit(True).alias("open"))
-    state, asked = materialize(state, "beams"), start.select("q", F.explode(F.array_distinct("ids")).alias("w"))
+    state = start.select("q", "query", F.col("long").alias("seen"), F.col("long").alias("ids"), "scores", F.transform("long", lambda _: F.lit(False)).alias("done"), F.lit(True).alias("open"))
+    state, asked = materialize(state, "beams"), start.select("q", F.explode(F.array_except("ids", "long")).alias("w"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -220,7 +239,8 @@ def search(graph: DataFrame, nodes: DataFrame, start: DataFrame, beam: int = 64,
             for r in b.itertuples(index=False):
                 ids, scores, done, seen = r.ids, np.asarray(r.scores, np.float32), np.asarray(r.done, bool), r.seen
                 if r.new is not None and len(r.new):
-                    s = _matrix(list(r.blobs)) @ np.frombuffer(r.query, "<f2").astype(np.float32)
+                    x, norm, _ = _unpack(list(r.blobs))
+                    s = (x @ np.frombuffer(r.query, "<f2").astype(np.float32)) * norm.astype(np.float32)
                     ids, scores, done = np.concatenate((ids, r.new)), np.concatenate((scores, s)), np.concatenate((done, np.zeros(len(s), bool)))
                     seen = np.concatenate((seen, r.new))
                 top = np.lexsort((ids, -scores))[:beam]
@@ -247,11 +267,10 @@ def search(graph: DataFrame, nodes: DataFrame, start: DataFrame, beam: int = 64,
 def nearest(graph: DataFrame, nodes: DataFrame, members: DataFrame, queries: DataFrame, k: int = 20, **settings: int) -> DataFrame:
     """(query_id, node) queries that are rows themselves -> query_id, rank, vec_id, score of the k nearest others."""
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
-    longest = [r["node"] for r in nodes.orderBy(square.desc(), "node").select("node").limit(LONG_STARTS).collect()]
-    asked = queries.select(F.col("node").alias("q")).distinct()
-    start = asked.join(_as_queries(nodes), "q").join(graph.select(F.col("node").alias("q"), "ids"), "q", "left")
-    long_starts = F.array(*map(F.lit, longest)).cast("array<long>")
-    start = start.withColumn("ids", F.concat(F.array("q"), F.coalesce("ids", F.array().cast("array<long>")), long_starts))
+    longest = nodes.orderBy(square.desc(), "node").select("node", "v").limit(LONG_STARTS).collect()
+    asked = queries.select("node").distinct()
+    start = _as_queries(asked.join(nodes.select("node", "v"), "node"), longest).join(graph.select(F.col("node").alias("q"), F.col("ids").alias("near")), "q", "left")
+    start = start.withColumn("ids", F.concat(F.array("q"), F.coalesce("near", F.array().cast("array<long>"))))
     found = search(graph, nodes, start, **settings).select("q", F.explode("ids").alias("node"))
     exact = found.join(nodes.select("node", "vec"), "node").join(nodes.select(F.col("node").alias("q"), F.col("vec").alias("query")), "q")
     dot = F.aggregate(F.zip_with("vec", "query", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x)
