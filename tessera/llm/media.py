@@ -10,8 +10,9 @@ a group of copies costs one row of the media table; the references that point to
 
 Defined cases: null HTML or text is empty; a reference without a digest, or with one the table lacks, stays
 in its place with null payload; media is captioned by its own figure's caption, else by alt text, else null;
-null and repeated page keys are separate pages, told apart by the row number within the input; very long
-texts are stored whole; an empty table gives an empty result; other columns are not carried.
+null and repeated page keys are separate pages, told apart by the row number within the input; kept columns must not be
+named row, parts or as a part's fields; very long
+texts are stored whole; an empty table gives an empty result; columns not asked for are not carried.
 """
 
 from __future__ import annotations
@@ -88,17 +89,18 @@ def sequence(html: str | None) -> list[dict]:
     return [{"position": i, **p} for i, p in enumerate(parser.parts)]
 
 
-def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """key, row (a number of the input row) and the page's parts in order."""
-    rows = pages.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), F.col(html).alias("html"))
+def parse_pages(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, row (a number of the input row), the columns to keep and the page's parts in order."""
+    rows = pages.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), *keep, F.col(html).alias("html"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 1000):
                 part = b.iloc[at : at + 1000]
-                yield pd.DataFrame({"key": part["key"], "row": part["row"], "parts": [sequence(h) for h in part["html"]]})
+                yield part.drop(columns="html").assign(parts=[sequence(h) for h in part["html"]])
 
-    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, row long, parts {PARTS}")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "html")
+    return rows.mapInPandas(run, f"{kept}, parts {PARTS}")
 
 
 def store_payloads(payloads: DataFrame) -> DataFrame:
@@ -138,13 +140,18 @@ def describe(media: DataFrame, others: tuple[str, ...] = ("digest",)) -> DataFra
 
 
 def resolve(parsed: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
-    """Join each page's media references to the table by digest: key and parts with the given columns, in order.
-
-    Positions stay as they were parsed; text parts and unresolved references have null in the columns."""
-    parts = parsed.select("key", "row", F.explode_outer("parts").alias("part")).select("key", "row", "part.*")
-    joined = parts.join(table.select("digest", *columns), "digest", "left")
+    """Join each page's media references to the table by digest: key, kept columns, and parts with the given columns, in order.
+
+    Positions stay as they were parsed; text parts and unresolved references have null in the columns. Only references
+    with a digest are joined; all other parts go past the join."""
+    kept = [c for c in parsed.columns if c not in ("row", "parts")]
+    parts = parsed.select("row", *kept, F.explode_outer("parts").alias("part")).select("row", *kept, "part.*")
+    held = F.col("digest").isNotNull()
+    joined = parts.filter(held).join(table.select("digest", *columns), "digest", "left").select(*parts.columns, *columns)
+    rest = parts.filter(~held).select(*parts.columns, *[F.lit(None).cast(table.schema[c].dataType).alias(c) for c in columns])
     part = F.struct("position", "kind", "text", "digest", "caption", *columns)
-    return joined.groupBy("row").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), part))).alias("parts")).drop("row")
+    own = [F.first(c).alias(c) for c in kept]
+    return joined.unionByName(rest).groupBy("row").agg(*own, F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), part))).alias("parts")).drop("row")
 
 
 def text_payload(text: str | Column) -> Column:
@@ -154,13 +161,31 @@ def text_payload(text: str | Column) -> Column:
     return F.concat(raw.cast("binary"), F.unhex(F.repeat(F.lit("00"), F.when(n == 0, ROW).otherwise(F.pmod(-n, F.lit(ROW))))))
 
 
+def _escaped(text: Column) -> Column:
+    for mark, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(mark), F.lit(code))
+    return text
+
+
+def document_page(text: Column, digest: Column) -> Column:
+    """A document as a page: its first line, a captioned figure of its payload, and its other lines."""
+    first = F.substring_index(text, "\n", 1)
+    rest = F.substr(text, F.length(first) + 1)
+    figure = F.concat(F.lit("</p><figure><img src='" + SCHEME), digest, F.lit("'><figcaption>"), F.lit("payload "), F.substring(digest, 1, 8), F.lit("</figcaption></figure><p>"))
+    return F.concat(F.lit("<p>"), _escaped(first), figure, _escaped(rest), F.lit("</p>"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a page with one captioned figure, whose payload is the document's padded text."""
+    """Every document as a page of its own lines around one figure, whose payload is the document's padded text.
+
+    Besides the contract's columns: the number of parts, the figure's position and caption, and the characters of the text runs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("payload", text_payload("text"))
-    digest = F.sha2("payload", 256)
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("string")
-    html = F.concat(F.lit("<p>document</p><figure><img src='" + SCHEME), digest, F.lit("'><figcaption>"), n, F.lit("</figcaption></figure>"))
-    pages = parse_pages(docs.select("doc_id", html.alias("html")), "doc_id")
+    raw = F.coalesce("text", F.lit(""))
+    pages = docs.select("doc_id", F.octet_length(raw).cast("long").alias("n_bytes"), document_page(raw, F.sha2("payload", 256)).alias("html"))
+    parsed = parse_pages(pages, "doc_id", keep=("n_bytes",))
+    # of text runs only their lengths go on from here; the payload holds the text
+    light = F.transform("parts", lambda p: F.when(p.kind == "text", p.withField("text", F.length(p.text).cast("string"))).otherwise(p))
+    parsed = parsed.withColumn("parts", light)
 
     stored = store_payloads(docs.select("payload")).withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
     read = describe(stored, ("digest", "media_bytes", "media_sha256")).select(
@@ -169,4 +194,8 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     columns = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     figure = F.element_at(F.filter("parts", lambda p: p.kind == "media"), 1)
-    return resolve(pages, read, columns).withColumn("m", figure).select(F.col("key").alias("doc_id"), F.col("m.caption").cast("long").alias("n_bytes"), *[F.col(f"m.{c}").alias(c) for c in columns])
+    chars = F.aggregate(F.filter("parts", lambda p: p.kind == "text"), F.lit(0).cast("long"), lambda n, p: n + p.text.cast("long"))
+    return resolve(parsed, read, columns).withColumn("m", figure).select(
+        F.col("key").alias("doc_id"), "n_bytes", *[F.col(f"m.{c}").alias(c) for c in columns],
+        F.size("parts").cast("long").alias("n_parts"), F.col("m.position").cast("long").alias("position"), F.col("m.caption").alias("caption"), chars.alias("text_chars"),
+    )
