@@ -35,10 +35,14 @@ def token_chunks(text: Column | str, max_tokens: int = 220, overlap: int = 40) -
     overlap = min(overlap, max_tokens - 1)
     stride = max(1, max_tokens - overlap)
     words = F.regexp_extract_all(stripped(F.coalesce(text, F.lit(""))), F.lit(r"(\S+\s*)"), F.lit(1))
-    n = F.size(words)
-    last = F.when(n <= max_tokens, 0).otherwise(F.ceil((n - max_tokens) / stride)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: stripped(F.array_join(F.slice(words, i * stride + 1, F.lit(max_tokens)), "")))
-    return F.when(n > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(w: Column) -> Column:
+        last = F.when(F.size(w) <= max_tokens, 0).otherwise(F.ceil((F.size(w) - max_tokens) / stride)).cast("int")
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: stripped(F.array_join(F.slice(w, i * stride + 1, F.lit(max_tokens)), "")))
+        return F.when(F.size(w) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    # one element that holds the words: all windows share one split of the text
+    return F.get(F.transform(F.array(words), windows), F.lit(0))
 
 
 def pack_characters(text: str, most: int) -> list[str]:

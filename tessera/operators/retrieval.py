@@ -72,7 +72,20 @@ def lexical_topk(chunks: DataFrame, query: str, k: int = 50) -> DataFrame:
 
 def inverted_index(chunks: DataFrame) -> DataFrame:
     """L1: (token, chunk_id, positions): the prebuilt form that many queries join instead of scanning texts."""
-    return chunks.select("chunk_id", F.posexplode(words("text")).alias("pos", "token")).groupBy("token", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), 200):
+                out = []
+                for chunk, tokens in zip(b["chunk_id"].iloc[at : at + 200], b["tokens"].iloc[at : at + 200], strict=True):
+                    found: dict[str, list[int]] = {}
+                    for place, token in enumerate(tokens):
+                        found.setdefault(token, []).append(place)
+                    out += [(token, chunk, places) for token, places in found.items()]
+                yield pd.DataFrame(out, columns=["token", "chunk_id", "positions"])
+
+    # a chunk is one row, so its positions are gathered in place and nothing moves
+    return chunks.select("chunk_id", words("text").alias("tokens")).mapInPandas(run, f"token string, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, positions array<int>")
 
 
 def lexical_budget(k: int, multiplier: int = 2, cap: int = 120) -> int:
@@ -109,8 +122,9 @@ def normalised(score: str) -> Column:
 def overlap_boost(query: Column | str, text: Column | str) -> Column:
     """H4: the share of the query's tokens, repeats counted, that the text has."""
     tokens = lambda t: F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("([a-z0-9_]+)"), F.lit(1))
-    asked, there = tokens(query), tokens(text)
-    return F.when(F.size(asked) > 0, F.size(F.filter(asked, lambda t: F.array_contains(there, t))) / F.size(asked)).otherwise(0.0)
+    share = lambda p: F.when(F.size(p.asked) > 0, F.size(F.filter(p.asked, lambda t: F.array_contains(p.there, t))) / F.size(p.asked)).otherwise(0.0)
+    both = F.struct(tokens(query).alias("asked"), F.array_distinct(tokens(text)).alias("there"))
+    return F.get(F.transform(F.array(both), share), F.lit(0))  # both sides are cut once a row
 
 
 def exact_boost(query: Column | str, text: Column | str) -> Column:

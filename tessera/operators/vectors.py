@@ -1,7 +1,7 @@
 """Vector store operators: upsert, delete, exact and hashed top-k, modes.
 
-Few queries against many vectors run as one pass: each vector meets the few query vectors, which are a
-literal, and every task keeps its best before anything moves. LSH buckets are an equi-join.
+Queries meet vectors in numbered blocks, by matrix products, and every batch keeps its best before anything moves.
+LSH buckets are an equi-join.
 """
 
 from __future__ import annotations
@@ -56,14 +56,61 @@ def best_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(0, k))
 
 
+#: Queries, and vectors, compared at once; bytes of query vectors that may be sent to every task.
+BLOCK_QUERIES, PART_VECTORS, BROADCAST_BYTES = 512, 8192, 32 << 20
+
+
+def _best_of_block(ids: pd.Series, vecs: pd.Series, names: pd.Series, queries: pd.Series, k: int) -> pd.DataFrame:
+    """query_id, id, score of each query's k best among these vectors, ties to the smaller id."""
+    order = np.argsort(ids.to_numpy(), kind="stable")
+    ids, x, q = ids.to_numpy()[order], np.stack(vecs.to_numpy()[order]), np.stack(queries.to_numpy())
+    lengths = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
+    scores = np.round(np.divide(q @ x.T, lengths, out=np.zeros(lengths.shape), where=lengths > 0), 6)
+    found = []
+    for name, own in zip(names, scores, strict=True):
+        least = np.partition(own, -k)[-k] if k < len(own) else -np.inf
+        near = np.flatnonzero(own >= least)
+        near = near[np.argsort(-own[near], kind="stable")[:k]]  # ids are sorted, so ties go to the smaller one
+        found.append(pd.DataFrame({"query_id": name, "id": ids[near], "score": own[near]}))
+    return pd.concat(found)
+
+
 def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """V5: exact cosine top-k. Queries without length or of another dimension give nothing; k below 0 is 0.
 
-    The query set is meant to be a handful: it is joined as a broadcast only while its size is known to be small."""
-    asked = queries.filter(norm("query") > 0)
-    small = asked.limit(1025).count() <= 1024
-    pairs = vectors.join(F.broadcast(asked) if small else asked, F.size("vec") == F.size("query"))
-    return best_per_query(pairs.select("query_id", "id", F.round(cosine("vec", "query"), 6).alias("score")), k)
+    While a count and the longest vector bound their size, queries go to every task and each batch of vectors meets
+    them in blocks, by matrix products. Beyond that, numbered blocks of queries and parts of vectors meet in groups of
+    bounded size. Either way only the k best of each query leave a task."""
+    asked = queries.filter(norm("query") > 0).select("query_id", F.col("query").cast("array<double>").alias("query")).withColumn("d", F.size("query"))
+    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).withColumn("d", F.size("vec")).filter("d > 0")
+    told = asked.agg(F.count("*").alias("n"), F.max("d").alias("d")).first()
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double"
+    if k <= 0 or not told["n"]:
+        return best_per_query(vectors.sparkSession.createDataFrame([], kinds), 0)
+    if told["n"] * told["d"] * 8 <= BROADCAST_BYTES:
+        held = asked.toPandas()
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for d, part in b.groupby("d"):
+                    fit = held[held["d"] == d]
+                    for at in range(0, len(fit), BLOCK_QUERIES):
+                        block = fit.iloc[at : at + BLOCK_QUERIES]
+                        yield _best_of_block(part["id"], part["vec"], block["query_id"], block["query"], k)
+
+        return best_per_query(rows.mapInPandas(run, kinds), k)
+
+    def meet(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(block):
+            return pd.DataFrame({"query_id": block["query_id"].iloc[:0], "id": part["id"].iloc[:0], "score": np.empty(0)})
+        return _best_of_block(part["id"], part["vec"], block["query_id"], block["query"], k)
+
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks, parts = -(-told["n"] // BLOCK_QUERIES), max(1, -(-rows.count() // PART_VECTORS))
+    left = rows.withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int")).withColumn("block", numbers(blocks))
+    right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", numbers(parts))
+    keys = ["block", "part", "d"]
+    return best_per_query(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, kinds), k)
 
 
 def exact_topk_subset(vectors: DataFrame, queries: DataFrame, ids: DataFrame, k: int) -> DataFrame:

@@ -110,12 +110,12 @@ def union_tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.union_page(load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")), load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k")), "k", 3, 10)
 
 
-_LINKS = "l AS (SELECT l_orderkey AS id, l_partkey % 50 AS a, l_suppkey % 50 AS b, l_returnflag AS relation FROM lineitem WHERE l_linenumber = 1)"
+_LINKS = "l AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 50 AS a, l_suppkey % 50 AS b, l_returnflag AS relation FROM lineitem)"
 
 
 @query(f"WITH {_LINKS} SELECT min(id) AS id, a, b, relation FROM l GROUP BY a, b, relation")
 def dedup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = load(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("id"), (F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"), F.col("l_returnflag").alias("relation"))
+    links = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), (F.col("l_partkey") % 50).alias("a"), (F.col("l_suppkey") % 50).alias("b"), F.col("l_returnflag").alias("relation"))
     return R.first_edges(links, ["a", "b", "relation"])
 
 

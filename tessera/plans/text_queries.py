@@ -69,9 +69,9 @@ def search_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", X.preview("text", "the").alias("preview"))
 
 
-@query(r"SELECT item_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key FROM benchmark")
+@query(r"SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS key FROM documents")
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").select("item_id", X.cache_key("text").alias("key"))
+    return load(spark, sf_dir, "documents").select("doc_id", X.cache_key("text").alias("key"))
 
 
 _BYTE = "CAST('0x' || substr(d, {0} * 2 + 1, 2) AS INTEGER)"

@@ -10,13 +10,13 @@ from tessera.plans.base import query
 from tessera.sources.tables import load
 
 PLANES = V.planes(64, 4, 6)
-VECTORS = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT id AS query_id, vec AS query FROM v WHERE id IN ('3', '7', '42'))"
+VECTORS = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT id AS query_id, vec AS query FROM v WHERE CAST(id AS BIGINT) % 100 = 0)"
 SIGNATURES = "s AS (SELECT id, t.i - 1 AS tbl, (" + " + ".join(f"CASE WHEN list_inner_product(vec, t.planes[{b + 1}]) >= 0 THEN {1 << b} ELSE 0 END" for b in range(6)) + ") AS sig FROM v, (SELECT unnest(range(1, 5)) AS i, unnest(" + str(PLANES) + "::DOUBLE[][][]) AS planes) t)"
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("vec"), "label")
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), rows.filter(F.col("id").isin("3", "7", "42")).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), rows.filter(F.col("id").cast("long") % 100 == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
 
 
 @query(f"WITH {VECTORS} SELECT query_id, id, round(list_cosine_similarity(vec, query), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, query), 6) DESC, id) AS rank FROM v, q QUALIFY rank <= 5")

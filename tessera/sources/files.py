@@ -16,16 +16,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Folders that hold no sources of their own.
-SKIPPED_FOLDERS = ".git .hg .svn .next .nuxt .turbo .cache .pnpm-store .yarn .gradle .idea .vscode .venv venv env node_modules dist build coverage out target vendor Pods DerivedData __pycache__ .pytest_cache .mypy_cache .ruff_cache .tox .serverless .aws-sam".split()
+SKIPPED_FOLDERS = [
+    ".git", ".hg", ".svn", ".next", ".nuxt", ".turbo", ".cache", ".pnpm-store", ".yarn", ".gradle", ".idea", ".vscode", ".venv", "venv", "env",
+    "node_modules", "dist", "build", "coverage", "out", "target", "vendor", "Pods", "DerivedData", "__pycache__", ".pytest_cache", ".mypy_cache",
+    ".ruff_cache", ".tox", ".serverless", ".aws-sam",
+]
 # Languages by whole file name, then by extension.
-LANGUAGE_BY_NAME = dict(
-    p.split(":")
-    for p in "dockerfile:docker makefile:makefile jenkinsfile:groovy procfile:procfile gemfile:ruby rakefile:ruby podfile:ruby brewfile:ruby package.json:json package-lock.json:json pnpm-lock.yaml:yaml yarn.lock:yaml tsconfig.json:json jsconfig.json:json pyproject.toml:toml requirements.txt:text pipfile:toml cargo.toml:toml cargo.lock:toml go.mod:go go.sum:go pom.xml:xml build.gradle:groovy build.gradle.kts:kotlin settings.gradle:groovy settings.gradle.kts:kotlin gradle.properties:properties composer.json:json composer.lock:json mix.exs:elixir mix.lock:elixir".split()
-)
-LANGUAGE_BY_EXTENSION = dict(
-    p.split(":")
-    for p in "c:c cc:cpp conf:conf cpp:cpp cs:csharp css:css cxx:cpp go:go gradle:groovy groovy:groovy h:c hh:cpp hpp:cpp htm:html html:html ini:ini java:java js:javascript json:json jsx:jsx kt:kotlin kts:kotlin less:less mjs:javascript mdx:mdx php:php ps1:powershell py:python rb:ruby rs:rust sass:sass scala:scala scss:scss sh:shell sql:sql svelte:svelte swift:swift toml:toml ts:typescript tsx:tsx vue:vue xml:xml yaml:yaml yml:yaml zsh:shell".split()
-)
+LANGUAGE_BY_NAME = {
+    "dockerfile": "docker", "makefile": "makefile", "jenkinsfile": "groovy", "procfile": "procfile", "gemfile": "ruby", "rakefile": "ruby",
+    "podfile": "ruby", "brewfile": "ruby", "package.json": "json", "package-lock.json": "json", "pnpm-lock.yaml": "yaml", "yarn.lock": "yaml",
+    "tsconfig.json": "json", "jsconfig.json": "json", "pyproject.toml": "toml", "requirements.txt": "text", "pipfile": "toml", "cargo.toml": "toml",
+    "cargo.lock": "toml", "go.mod": "go", "go.sum": "go", "pom.xml": "xml", "build.gradle": "groovy", "build.gradle.kts": "kotlin",
+    "settings.gradle": "groovy", "settings.gradle.kts": "kotlin", "gradle.properties": "properties", "composer.json": "json", "composer.lock": "json",
+    "mix.exs": "elixir", "mix.lock": "elixir",
+}
+LANGUAGE_BY_EXTENSION = {
+    "c": "c", "cc": "cpp", "conf": "conf", "cpp": "cpp", "cs": "csharp", "css": "css", "cxx": "cpp", "go": "go", "gradle": "groovy",
+    "groovy": "groovy", "h": "c", "hh": "cpp", "hpp": "cpp", "htm": "html", "html": "html", "ini": "ini", "java": "java", "js": "javascript",
+    "json": "json", "jsx": "jsx", "kt": "kotlin", "kts": "kotlin", "less": "less", "mjs": "javascript", "mdx": "mdx", "php": "php",
+    "ps1": "powershell", "py": "python", "rb": "ruby", "rs": "rust", "sass": "sass", "scala": "scala", "scss": "scss", "sh": "shell", "sql": "sql",
+    "svelte": "svelte", "swift": "swift", "toml": "toml", "ts": "typescript", "tsx": "tsx", "vue": "vue", "xml": "xml", "yaml": "yaml", "yml": "yaml",
+    "zsh": "shell",
+}
 
 
 def code_language(path: Column | str) -> Column:
@@ -118,8 +130,9 @@ def write_events(df: DataFrame, path: str) -> None:
 
 
 def read_wal(spark: SparkSession, path: str) -> DataFrame:
-    """K4, V1: a write-ahead log of text lines -> seq, op, id, value, ttl_s, vec. Lines that don't parse go."""
-    lines = spark.read.text(path).withColumn("seq", F.monotonically_increasing_id())
+    """K4, V1: a write-ahead log of text lines -> seq (struct in log order), op, id, value, ttl_s, vec. Lines that don't parse go."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("seq"))  # sorts as the log was written: file by name, block, line
     part = F.split("value", " ")
     op = F.get(part, F.lit(0))
     ttl = F.when((op == "SET") & (F.get(part, F.size(part) - 2) == "EX"), F.expr("try_cast(element_at(split(value, ' '), -1) AS BIGINT)"))

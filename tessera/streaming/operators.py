@@ -36,14 +36,17 @@ def expiring(entries: DataFrame, late: str = LATE) -> DataFrame:
             yield pd.DataFrame({"key": [key[0]], "state": ["expired"]})
             return
         last = pd.concat(batches).sort_values("ts").iloc[-1]
-        state.update((str(last["value"]),))
+        at = int(last["ts"].timestamp() * 1_000_000)
+        if state.exists and state.get[1] > at:
+            return  # a late, older write changes nothing
+        state.update((str(last["value"]), at))
         if pd.notna(last["ttl_s"]):
             end = int(last["ts"].timestamp() * 1000 + last["ttl_s"] * 1000)
             state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"key": [key[0]], "state": ["set"]})
 
     keyed = entries.withWatermark("ts", late).groupBy("key")
-    return keyed.applyInPandasWithState(step, "key string, state string", "value string", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.applyInPandasWithState(step, "key string, state string", "value string, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def value_stream(events: DataFrame, start: float = 0.5) -> DataFrame:

@@ -103,3 +103,31 @@ def test_upsert_keeps_scores(spark):
 def test_import_graph(spark):
     files = spark.createDataFrame([("a.js", ["alpha"], []), ("b.js", ["beta"], ["alpha", "gone"])], "file string, exports array<string>, imports array<string>")
     assert [(r.file, r.to_file) for r in retrieval.import_graph(files).collect()] == [("b.js", "a.js")]
+
+
+def test_vector_topk_in_blocks_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(700, 8)), 1)  # rounded, so that some scores tie
+    x[50:60] = x[50]
+    table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, vec array<double>")
+    asked = table.filter("id % 10 = 0").select(table.id.alias("query_id"), table.vec.alias("query"))
+    scores = np.round(x @ x.T / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1)), 6)
+    want = {q: np.lexsort((np.arange(700), -scores[q]))[:7].tolist() for q in range(0, 700, 10)}
+    for most in (vectors.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(vectors, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(vectors, "PART_VECTORS", 100)
+        monkeypatch.setattr(vectors, "BLOCK_QUERIES", 16)
+        got = vectors.exact_topk(table, asked, 7).orderBy("query_id", "rank").collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.query_id, []).append(r.id)
+        assert found == want
+
+
+def test_inverted_index_and_boost_by_hand(spark):
+    chunks = spark.createDataFrame([("a", "x y X"), ("b", ""), ("c", None)], "chunk_id string, text string")
+    assert {(r.token, r.chunk_id): r.positions for r in retrieval.inverted_index(chunks).collect()} == {("x", "a"): [0, 2], ("y", "a"): [1]}
+    boosts = [r[0] for r in chunks.orderBy("chunk_id").select(retrieval.overlap_boost(retrieval.F.lit("x z x"), "text")).collect()]
+    assert [round(b, 6) for b in boosts] == [0.666667, 0.0, 0.0]

@@ -115,3 +115,12 @@ def test_streams(spark, tmp_path):
     assert {r.key for r in _drain(spark, S.first_writes(source(), "key"), "append", "first")} == {"a", "b"}
     assert {(r.memory_id, round(r.value, 3)) for r in _drain(spark, S.value_stream(source()), "update", "values")} == {(1, 0.66), (2, 0.58)}
     assert {(r.key, r.state) for r in _drain(spark, S.expiring(source()), "append", "ttl")} == {("a", "set"), ("b", "set")}
+
+
+def test_wal_of_several_files_keeps_the_order_of_names(spark, tmp_path):
+    """Spark reads large files first; the log's order is that of the names."""
+    path = tmp_path / "log"
+    path.mkdir()
+    (path / "1.txt").write_text("SET k first\n")
+    (path / "2.txt").write_text("noise " * 2000 + "\nSET k second\nSET k third\n")
+    assert [r.value for r in files.read_wal(spark, str(path)).orderBy("seq").collect()] == ["first", "second", "third"]
