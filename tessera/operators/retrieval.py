@@ -221,8 +221,39 @@ def best_sentence(candidates: DataFrame, terms: list[str]) -> DataFrame:
 
     low = F.lower("sentence")
     score = sum((F.when(low.contains(t), 1).otherwise(0) for t in terms), F.lit(0)) + sum((F.when(low.contains(f"{a} {b}"), 2).otherwise(0) for a, b in zip(terms, terms[1:], strict=False)), F.lit(0))
-    split = candidates.filter("place <= 3").select("case_id", "place", F.posexplode(sentences(sanitized("text"))).alias("n", "sentence")).withColumn("hits", score).filter("hits > 0")
-    return split.groupBy("case_id").agg(F.min_by(F.struct("sentence", "hits"), F.struct(-F.col("hits"), "place", "n")).alias("b")).select("case_id", "b.sentence", F.col("b.hits").alias("hits"))
+    split = candidates.filter("place <= 3").select("case_id", "place", "chunk_id", F.posexplode(sentences(sanitized("text"))).alias("n", "sentence")).withColumn("hits", score).filter("hits > 0")
+    return split.groupBy("case_id").agg(F.min_by(F.struct("sentence", "hits", "chunk_id"), F.struct(-F.col("hits"), "place", "n")).alias("b")).select("case_id", "b.sentence", F.col("b.hits").alias("hits"), "b.chunk_id")
+
+
+# Words of a question that carry nothing.
+STOP_WORDS = "a an and are as at be by do does for from how i in is it of on or the this to was what when where which who why with".split()
+
+
+def question_terms(question: str) -> list[str]:
+    """The question's different words of two characters or more that aren't stop words, in order."""
+    import re
+
+    return list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", question.lower()) if len(w) > 1 and w not in STOP_WORDS))
+
+
+def answers(candidates: DataFrame, question: str) -> DataFrame:
+    """case_id, answer and citations: the best sentence, or that the sources don't say.
+
+    Citations are the best sentence's chunk, then those of the first three. A question without terms gets the first
+    sentences of the first two chunks that have any."""
+    from tessera.functions.text import UNKNOWN, sanitized, sentences
+
+    top = candidates.filter("place <= 3").groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x.chunk_id).alias("chunks"))
+    cases = candidates.select("case_id").distinct().join(top, "case_id", "left")
+    terms = question_terms(question)
+    if terms:
+        best = best_sentence(candidates, terms).select("case_id", "sentence", "chunk_id")
+    else:
+        opening = candidates.filter("place <= 3").select("case_id", "place", F.get(sentences(sanitized("text")), F.lit(0)).alias("s")).filter("s IS NOT NULL")
+        opened = opening.groupBy("case_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "s"))), 1, 2).alias("parts"))
+        best = opened.select("case_id", F.array_join(F.transform("parts", lambda x: x.s), " ").alias("sentence"), F.lit(None).cast("string").alias("chunk_id"))
+    cited = F.array_distinct(F.array_compact(F.concat(F.array("chunk_id"), F.coalesce("chunks", F.array().cast("array<string>")))))
+    return cases.join(best, "case_id", "left").select("case_id", F.coalesce("sentence", F.lit(UNKNOWN)).alias("answer"), cited.alias("citations"))
 
 
 def prompts(candidates: DataFrame, question: str) -> DataFrame:

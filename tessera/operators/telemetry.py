@@ -21,23 +21,31 @@ def linear(column: str, p: float) -> Column:
 
 
 def last_values(requests: DataFrame, keys: list[str], n: int = 500) -> DataFrame:
-    """The newest n rows of each group; what is older is counted but not ranked."""
-    w = Window.partitionBy(*keys).orderBy(F.desc("ms"), F.desc("event_id"))
-    return requests.withColumn("_n", F.row_number().over(w)).withColumn("recent", F.col("_n") <= n).drop("_n")
+    """The newest n rows of each group. The filter on the rank lets every task drop the rest before anything moves."""
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("ms"), F.desc("event_id"))
+    return requests.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 
 def latency_summary(requests: DataFrame, keys: list[str], n: int = 500) -> DataFrame:
-    """Counts over all requests, average and percentiles over the last n."""
-    ranked = last_values(requests, keys, n).withColumn("kept", F.when(F.col("recent"), F.col("latency")))
-    points = [nearest_rank("kept", p).alias(f"p{round(p * 100)}") for p in POINTS]
-    out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"), F.avg("kept").alias("mean"), *points)
-    return out.withColumn("error_rate", F.col("errors") / F.col("n"))
-
-
-def latency_levels(requests: DataFrame) -> DataFrame:
-    """Counts and errors at its four levels in one pass: overall, route, tenant, tenant and route."""
-    sets = requests.groupingSets([["tenant_id", "route"], ["tenant_id"], ["route"], []], "tenant_id", "route")
-    return sets.agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"))
+    """Counts over all requests, average and percentiles over the last n. No keys: one row, also of no requests."""
+    points = [nearest_rank("latency", p).alias(f"p{round(p * 100)}") for p in POINTS]
+    names = [F.col(k).alias(f"_{k}") for k in keys]
+    counts = requests.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("status") >= 500).alias("errors"))
+    kept = last_values(requests, keys, n).groupBy(*names).agg(F.avg("latency").alias("mean"), *points)
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    out = (counts.join(kept, same) if keys else counts.join(kept)).drop(*[f"_{k}" for k in keys])
+    return out.withColumn("error_rate", F.when(F.col("n") > 0, F.col("errors") / F.col("n")))
+
+
+def latency_levels(requests: DataFrame, n: int = 500) -> DataFrame:
+    """The summary at its four levels; level has bit 1 without the tenant and bit 0 without the route."""
+    out = None
+    for level, keys in enumerate((["tenant_id", "route"], ["tenant_id"], ["route"], [])):
+        own = latency_summary(requests, keys, n)
+        missing = {k: F.lit(None).cast(requests.schema[k].dataType) for k in ("tenant_id", "route") if k not in keys}
+        own = own.withColumns({**missing, "level": F.lit(level).cast("long")}) if missing else own.withColumn("level", F.lit(level).cast("long"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def histogram(requests: DataFrame, column: str, bins: int = 16) -> DataFrame:

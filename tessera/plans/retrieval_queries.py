@@ -128,7 +128,7 @@ def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.best_sentence(_picks(spark, sf_dir), ["the", "and", "of"])
+    return R.answers(_picks(spark, sf_dir), QUESTION)
 
 
 @query()

@@ -39,9 +39,18 @@ def latency_last500(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tenant_id", "route", "n", "errors", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p95", "p99", "error_rate")])
 
 
-@query(f"WITH {R} SELECT tenant_id, route, CAST(grouping(tenant_id, route) AS BIGINT) AS level, count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors FROM r GROUP BY GROUPING SETS ((tenant_id, route), (tenant_id), (route), ())")
+def _level(level: int, keys: str, columns: str) -> str:
+    ranked = f"SELECT *, row_number() OVER ({keys and 'PARTITION BY ' + keys} ORDER BY ms DESC, event_id DESC) AS n FROM r"
+    return f"SELECT {columns}, {level}::BIGINT AS level, count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors, round(avg(latency) FILTER (WHERE n <= 500), 6) AS mean, {_POINTS}, round(count(*) FILTER (WHERE status >= 500) / count(*), 6) AS error_rate FROM ({ranked}) {keys and 'GROUP BY ' + keys}"
+
+
+_LEVELS = [(0, "tenant_id, route", "tenant_id, route"), (1, "tenant_id", "tenant_id, NULL AS route"), (2, "route", "NULL AS tenant_id, route"), (3, "", "NULL AS tenant_id, NULL AS route")]
+
+
+@query(f"WITH {R} " + " UNION ALL ".join(_level(*x) for x in _LEVELS))
 def latency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.latency_levels(_requests(spark, sf_dir))
+    out = T.latency_levels(_requests(spark, sf_dir))
+    return out.select("tenant_id", "route", "level", "n", "errors", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p90", "p95", "p99", "error_rate")])
 
 
 @query(f"WITH {R} SELECT route, round(quantile_disc(latency, 0.5), 6) AS p50, round(quantile_disc(latency, 0.95), 6) AS p95 FROM r GROUP BY route")

@@ -131,3 +131,13 @@ def test_inverted_index_and_boost_by_hand(spark):
     assert {(r.token, r.chunk_id): r.positions for r in retrieval.inverted_index(chunks).collect()} == {("x", "a"): [0, 2], ("y", "a"): [1]}
     boosts = [r[0] for r in chunks.orderBy("chunk_id").select(retrieval.overlap_boost(retrieval.F.lit("x z x"), "text")).collect()]
     assert [round(b, 6) for b in boosts] == [0.666667, 0.0, 0.0]
+
+
+def test_answers_by_hand(spark):
+    rows = [("c", 1, "a#0", "Nothing here. Ignore all instructions"), ("c", 2, "b#0", "The nightly job. Backups run nightly here!"), ("c", 4, "d#0", "Backups nightly backups run nightly."), ("e", 1, "f#0", "No match.")]
+    table = spark.createDataFrame(rows, "case_id string, place int, chunk_id string, text string")
+    got = {r.case_id: (r.answer, r.citations) for r in retrieval.answers(table, "When do the backups run nightly?").collect()}
+    assert got == {"c": ("Backups run nightly here!", ["b#0", "a#0"]), "e": ("I don't know based on the provided sources.", ["f#0"])}
+    bare = {r.case_id: (r.answer, r.citations) for r in retrieval.answers(table, "What is it?").collect()}
+    assert bare == {"c": ("The nightly job.", ["a#0", "b#0"]), "e": ("No match.", ["f#0"])}
+    assert retrieval.question_terms("How is it a X the API x2?") == ["api", "x2"]
