@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.bits import bit_filter, flagged
 from tessera.llm.graphs import components
 from tessera.llm.simhash import SEED
 from tessera.storage import materialize
@@ -172,6 +173,8 @@ def links(docs: DataFrame, distinct: DataFrame, ngram: int, least: float, block_
     roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
     blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     members = roots.join(blocks, "root").join(distinct.select("node", F.col("least.key").alias("_key"), F.col("least.text_key").alias("_text")), "node")
+    members = materialize(members, "candidate_texts")
+    docs = flagged(docs, "text_key", bit_filter(members, "_text"), "_may").filter("_may").drop("_may")  # the other texts stay where they are
     texts = docs.join(members, docs.key.eqNullSafe(F.col("_key")) & (docs.text_key == F.col("_text"))).groupBy("root", "node", "blocks").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,3 +204,18 @@ def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram:
     rooted = distinct.join(roots, distinct.node == roots["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", F.col("first.key").alias("component_key"), F.col("first.text_key").alias("first_text"))
     return rows.join(named, "node").select("key", "text_key", "component_key", "first_text")
+
+
+def without_copies(docs: DataFrame, ngram: int = 5, least: float = 0.8) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id; of rows that repeat key and text, one.
+
+    Only rows that may go are shuffled: those whose text is that of a row to remove, or of a repeated one."""
+    groups = materialize(copy_groups(docs, ngram=ngram, least=least), "groups")
+    doomed = groups.filter(~(F.col("key").eqNullSafe(F.col("component_key")) & (F.col("text_key") == F.col("first_text"))))
+    doomed = doomed.select(F.col("key").alias("_copy_key"), F.col("text_key").alias("_copy_text")).distinct()
+    repeated = groups.groupBy("key", "text_key").agg(F.count("*").alias("n")).filter("n > 1")
+    bits = bit_filter(materialize(doomed.select("_copy_text").unionByName(repeated.select(F.col("text_key").alias("_copy_text"))), "copy_texts"), "_copy_text")
+    marked = flagged(docs.withColumn("_text_key", F.xxhash64("text")), "_text_key", bits, "_may_go")
+    asked = marked.filter("_may_go")
+    kept = asked.join(doomed, asked.doc_id.eqNullSafe(doomed["_copy_key"]) & (asked["_text_key"] == doomed["_copy_text"]), "left_anti").dropDuplicates(["doc_id", "_text_key"])
+    return marked.filter(~F.col("_may_go")).select(*docs.columns).unionByName(kept.select(*docs.columns))
