@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.copies import copy_groups
+from tessera.llm.copies import without_copies
 from tessera.llm.language import learn_from_documents, predict
 from tessera.llm.mixing import mix, taken_texts, word_count
 from tessera.llm.packing import pack_documents
@@ -37,11 +37,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near copies the document with the smallest doc_id."""
-    groups = copy_groups(docs, ngram=SHINGLE_WORDS, least=SIMILARITY)
-    kept = groups.select(F.col("component_key").alias("_key"), F.col("first_text").alias("_text")).distinct()
-    keyed = docs.withColumn("_t", F.xxhash64("text"))
-    stay = keyed.join(kept, keyed.doc_id.eqNullSafe(kept["_key"]) & (keyed["_t"] == kept["_text"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    return without_copies(docs, ngram=SHINGLE_WORDS, least=SIMILARITY)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
