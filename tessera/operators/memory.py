@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,19 +111,34 @@ def lifecycle(items: DataFrame, now_ms: int, min_age_hours: float = 24, group: i
     return acted.withColumn("compact_group", F.when(F.col("action") == "summarize", F.ceil(F.row_number().over(w) / group)).cast("long"))
 
 
-def redundancy(vectors: DataFrame, hyperplanes: list) -> DataFrame:
-    """The largest cosine to another vector in the same LSH bucket and block, within 0 .. 1; 0 if alone.
-
-    The measure is a decision made here. Buckets are joined by equality, so no vector meets all others."""
-    from tessera.operators.vectors import cosine, signatures
-
-    buckets = signatures(vectors, hyperplanes).join(vectors.select("id", "block"), "id")
-    a, b = buckets.alias("a"), buckets.alias("b")
-    same = (F.col("a.table") == F.col("b.table")) & (F.col("a.signature") == F.col("b.signature")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.id") != F.col("b.id"))
-    pairs = a.join(b, same).select(F.col("a.id").alias("id"), F.col("b.id").alias("other")).distinct()
-    left, right = vectors.select("id", "vec"), vectors.select(F.col("id").alias("other"), F.col("vec").alias("other_vec"))
-    best = pairs.join(left, "id").join(right, "other").groupBy("id").agg(F.max(cosine("vec", "other_vec")).alias("best"))
-    return vectors.select("id").join(best, "id", "left").select("id", F.round(clamp(F.col("best"), 0, 1), 6).alias("redundancy"))
+def redundancy(vectors: DataFrame, tile_rows: int = 4096) -> DataFrame:
+    """The largest cosine to another vector of the same block and length, within 0 .. 1; 0 if alone.
+
+    The measure is a decision made here. A block is cut into tiles by hash, and two tiles meet as a matrix product that
+    gives each row's best: no pairs of rows leave a task, and a block of any size is many tasks. Vectors null, zero or
+    with components that are null or not finite have 0; of rows that repeat an id the others count as other vectors."""
+    rows = vectors.select("id", "vec", "block", F.coalesce(F.size("vec"), F.lit(-1)).alias("d"))
+    counts = rows.groupBy("block", "d").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")).select(F.col("block").alias("_block"), F.col("d").alias("_d"), "tiles")
+    tiled = rows.filter("d > 0").join(counts, F.col("block").eqNullSafe(F.col("_block")) & (F.col("d") == F.col("_d")))
+    tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id", "vec"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    pairs = tiled.select("block", "d", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile", "id", "vec")
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        sides = []
+        for _, g in group.groupby("tile"):
+            x = np.stack([np.asarray(v, np.float64) for v in g["vec"]])
+            x[~np.isfinite(x).all(axis=1)] = 0
+            norm = np.linalg.norm(x, axis=1, keepdims=True)
+            sides.append((g["id"], x / np.where(norm > 0, norm, 1)))
+        (ids, x), (others, y) = sides[0], sides[-1]
+        scores = x @ y.T
+        if len(sides) == 1:  # a tile with itself, or with one that has no rows
+            np.fill_diagonal(scores, 0)
+            return pd.DataFrame({"id": ids, "best": scores.max(axis=1)})
+        return pd.DataFrame({"id": pd.concat([ids, others]), "best": np.concatenate([scores.max(axis=1), scores.max(axis=0)])})
+
+    found = pairs.groupBy("block", "d", "a", "b").applyInPandas(meet, f"id {rows.schema['id'].dataType.simpleString()}, best double").groupBy(F.col("id").alias("_id")).agg(F.max("best").alias("best"))
+    return vectors.select("id").distinct().join(found, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", F.round(clamp(F.col("best"), 0, 1), 6).alias("redundancy"))
 
 
 def feedback_event(feedback: Column) -> Column:
@@ -130,15 +146,49 @@ def feedback_event(feedback: Column) -> Column:
     return F.when(feedback == "positive", "user_positive").when(feedback == "negative", "user_negative").when(feedback == "success", "task_success").otherwise(feedback)
 
 
-def tier_gate(items: DataFrame, k: int, multiplier: int, cold_share: float, seed: int) -> DataFrame:
-    """All HOT items, k of the best k * multiplier WARM ones by seeded hash, and a seeded share of COLD ones."""
+def draw(seed: int, key: str) -> Column:
+    """A seeded draw of each key, as hex digits that order at random."""
+    return F.sha2(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")), 256)
+
+
+def tier_gate(items: DataFrame, k: int, multiplier: int, cold_share: float, seed: int, sample: str = "random") -> DataFrame:
+    """All HOT items, k of the best k * multiplier WARM ones, and a seeded share of COLD ones.
+
+    WARM ones are sampled at random by a seeded draw, or 'lru': those used longest ago first, never used ones before (a decision made here)."""
     hot = items.filter("tier = 'HOT'")
     pool = items.filter("tier = 'WARM'").orderBy(F.desc("value_score"), "id").limit(k * multiplier)
-    warm = pool.orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id").limit(k)
-    cold = items.filter((F.col("tier") == "COLD") & (F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(10_000)) < cold_share * 10_000))
+    order = F.asc_nulls_first("last_used_ms") if sample == "lru" else draw(seed, "id")
+    warm = pool.orderBy(order, "id").limit(k)
+    cold = items.filter((F.col("tier") == "COLD") & (F.conv(F.substring(draw(seed, "id"), 1, 6), 16, 10).cast("int") < F.lit(int(cold_share * 16**6))))
     return hot.unionByName(warm).unionByName(cold)
 
 
+def gate_counts(gated: DataFrame, k: int) -> DataFrame:
+    """One row of what the gate let through, and its bound: all HOT, at most k WARM, and the COLD probed."""
+    count = lambda tier: F.count_if(F.col("tier") == tier)
+    counts = gated.agg(count("HOT").alias("hot_count"), count("WARM").alias("warm_sampled"), count("COLD").alias("cold_candidates"), F.count("*").alias("retrieval_set_size"))
+    counts = counts.withColumn("retrieval_bound", F.col("hot_count") + k + F.col("cold_candidates"))
+    return counts.withColumn("bounded", F.col("retrieval_set_size") <= F.col("retrieval_bound"))
+
+
+def recorded_events(events: DataFrame, now_ms: int) -> DataFrame:
+    """The events that can be recorded: a type that isn't blank, trimmed, and a finite value; without a time, now.
+
+    Others are dropped; a value that is null counts as not finite."""
+    value = F.col("event_value").cast("double")
+    valid = (F.trim(F.coalesce("event_type", F.lit(""))) != "") & value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return events.filter(valid).withColumns({"event_type": F.trim("event_type"), "event_value": value, "created_ms": F.coalesce("created_ms", F.lit(now_ms))})
+
+
+LINK_KEY = ["tenant_id", "from_item_id", "to_item_id", "relation"]
+
+
+def new_links(links: DataFrame, stored: DataFrame) -> DataFrame:
+    """The links that aren't stored yet, one of each key. Keys with a null part are dropped; metadata of repeats: the least."""
+    asked = links.dropna(subset=LINK_KEY).groupBy(*LINK_KEY).agg(F.min("metadata").alias("metadata"))
+    return asked.join(stored.select(*LINK_KEY), LINK_KEY, "left_anti")
+
+
 def last_writes(log: DataFrame) -> DataFrame:
     """K1: the last SET or DEL of each key; a SET without a time to live clears it."""
     last = log.groupBy("key").agg(F.max_by(F.struct("op", "value", "expires_ms"), "seq").alias("w"))

@@ -165,9 +165,15 @@ def overlap(exact: DataFrame, approximate: DataFrame, k: int) -> DataFrame:
     return hit.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / k).alias("overlap"))
 
 
-def search_mode(mode: str, n: int, recent_overlaps: list[float], *, least: int = 5000, floor: float = 0.8, strikes: int = 3) -> str:
-    """V12: 'ann' or 'exact'. auto takes ann from `least` candidates on, unless the last overlaps broke the circuit."""
-    broken = len(recent_overlaps) >= strikes and all(x < floor for x in recent_overlaps[-strikes:])
+def in_rollout(key: Column | str, percent: int) -> Column:
+    """Whether a request is in the share that may take the approximate way; the same key always is or isn't."""
+    return F.conv(F.substring(F.sha2(F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), 256), 1, 6), 16, 10).cast("int") % 100 < percent
+
+
+def search_mode(mode: str, n: int, recent_overlaps: list[float], *, least: int = 5000, floor: float = 0.8, strikes: int = 3, seconds_since: float = 0, open_seconds: float = 300) -> str:
+    """V12: 'ann' or 'exact'. auto takes ann from `least` candidates on, unless the last overlaps broke the circuit
+    less than `open_seconds` ago."""
+    broken = seconds_since < open_seconds and len(recent_overlaps) >= strikes and all(x < floor for x in recent_overlaps[-strikes:])
     return "ann" if mode == "auto" and n >= least and not broken else "exact"
 
 

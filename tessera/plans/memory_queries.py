@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import memory as M
-from tessera.operators.vectors import planes
 from tessera.plans.base import query
 from tessera.sources.tables import ITEMS_SQL, NOW_MS, items, load
 
@@ -64,10 +63,10 @@ def delete_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.within_budget(items(spark, sf_dir).filter("value_score < 0.25"), 12, F.asc("value_score"), F.asc("id")).select("id")
 
 
-@query()
+@query("WITH p AS (SELECT a.vec_id AS id, max(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS best FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id) SELECT vec_id AS id, round(least(1, greatest(0, coalesce(best, 0))), 6) AS redundancy FROM embeddings LEFT JOIN p ON p.id = vec_id")
 def vec_label_redundancy(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), F.col("label").alias("block"))
-    return M.redundancy(rows, planes(64, 4, 6))
+    return M.redundancy(rows)
 
 
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'user_positive' WHEN 'error' THEN 'user_negative' WHEN 'purchase' THEN 'task_success' ELSE event_type END AS event FROM events")
@@ -76,11 +75,40 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", M.feedback_event(given).alias("event"))
 
 
-@query()
+_GATE = f"""WITH {ITEMS_SQL}, pool AS (SELECT * FROM items WHERE tier = 'WARM' ORDER BY value_score DESC, id LIMIT 80), w AS (SELECT id, tier FROM pool ORDER BY %s, id LIMIT 20),
+g AS (SELECT id, tier FROM items WHERE tier = 'HOT' UNION ALL SELECT * FROM w UNION ALL SELECT id, tier FROM items WHERE tier = 'COLD' AND CAST('0x' || substr(sha256('7:' || id), 1, 6) AS INTEGER) < {int(0.05 * 16**6)})"""
+
+
+@query(_GATE.replace("%s", "sha256('7:' || id)") + " SELECT id, tier FROM g")
 def tier_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.tier_gate(items(spark, sf_dir), 20, 4, 0.05, 7).select("id", "tier")
 
 
+@query(_GATE.replace("%s", "last_used_ms ASC NULLS FIRST") + " SELECT count(*) FILTER (WHERE tier = 'HOT') AS hot_count, count(*) FILTER (WHERE tier = 'WARM') AS warm_sampled, count(*) FILTER (WHERE tier = 'COLD') AS cold_candidates, count(*) AS retrieval_set_size, count(*) FILTER (WHERE tier <> 'WARM') + 20 AS retrieval_bound, count(*) <= count(*) FILTER (WHERE tier <> 'WARM') + 20 AS bounded FROM g")
+def tier_gate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.gate_counts(M.tier_gate(items(spark, sf_dir), 20, 4, 0.05, 7, "lru"), 20)
+
+
+@query(_GATE.replace("%s", "last_used_ms ASC NULLS FIRST") + " SELECT id, tier FROM g WHERE tier = 'WARM'")
+def tier_gate_lru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.tier_gate(items(spark, sf_dir), 20, 4, 0.05, 7, "lru").filter("tier = 'WARM'").select("id", "tier")
+
+
+@query(f"SELECT event_id, trim(CASE WHEN event_id % 9 = 0 THEN ' ' ELSE event_type || ' ' END) AS event_type, value AS event_value, coalesce(CASE WHEN event_id % 4 > 0 THEN epoch_us(ts) // 1000 END, {NOW_MS}) AS created_ms FROM events WHERE event_id % 9 <> 0 AND value IS NOT NULL AND isfinite(value)")
+def recorded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = load(spark, sf_dir, "events").selectExpr("event_id", "CASE WHEN event_id % 9 = 0 THEN ' ' ELSE event_type || ' ' END AS event_type", "value AS event_value", "CASE WHEN event_id % 4 > 0 THEN unix_millis(CAST(ts AS TIMESTAMP)) END AS created_ms")
+    return M.recorded_events(given, NOW_MS)
+
+
+_LINKS = "SELECT 't' || (user_id % 3) AS tenant_id, user_id AS from_item_id, event_id % 50 AS to_item_id, event_type AS relation, props AS metadata FROM {0}"
+
+
+@query(f"WITH l AS ({_LINKS.format('events')}), s AS (SELECT * FROM l WHERE relation = 'error') SELECT tenant_id, from_item_id, to_item_id, relation, min(metadata) AS metadata FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.tenant_id = l.tenant_id AND s.from_item_id = l.from_item_id AND s.to_item_id = l.to_item_id AND s.relation = l.relation) AND from_item_id IS NOT NULL AND relation IS NOT NULL GROUP BY ALL")
+def memory_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = load(spark, sf_dir, "events").selectExpr("'t' || (user_id % 3) AS tenant_id", "user_id AS from_item_id", "event_id % 50 AS to_item_id", "event_type AS relation", "props AS metadata")
+    return M.new_links(links, links.filter("relation = 'error'"))
+
+
 _LOG = "g AS (SELECT event_id AS seq, 'k' || (user_id % 97) AS key, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'SET' END AS op, props AS value, CASE WHEN event_type = 'view' THEN {ms} + 86400000 * (event_id % 40) END AS expires_ms FROM events)"
 
 

@@ -91,3 +91,8 @@ def vec_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, CASE WHEN (SELECT count(*) FROM documents) <> (SELECT count(*) FROM embeddings) THEN 'count_mismatch' ELSE 'up_to_date' END AS reason, (SELECT count(*) FROM documents) <> (SELECT count(*) FROM embeddings) AS clear_first")
 def vec_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.reindex_reason(load(spark, sf_dir, "documents").select("doc_id"), _vectors(spark, sf_dir)[0], 64)
+
+
+@query("SELECT vec_id, CAST('0x' || substr(sha256(CAST(vec_id AS VARCHAR)), 1, 6) AS INTEGER) % 100 < 25 AS approximate FROM embeddings")
+def search_rollout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "embeddings").select("vec_id", V.in_rollout("vec_id", 25).alias("approximate"))
