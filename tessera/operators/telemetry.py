@@ -86,6 +86,46 @@ def run_summary(requests: DataFrame, run: str) -> DataFrame:
     )
 
 
+def _latency_points(values: Column) -> list[Column]:
+    points = [F.coalesce(linear(values, p), F.lit(0.0)).alias(f"latency_p{round(p * 100)}_ms") for p in POINTS]
+    return [F.coalesce(F.avg(values), F.lit(0.0)).alias("latency_avg_ms"), *points]
+
+
+def run_report(records: DataFrame) -> DataFrame:
+    """All metrics of each run, from one table of records in one shuffle.
+
+    A record has config_id, run_id, ms, event_id and a kind that says which other columns it fills: latency (latency_ms),
+    tokens (token_kind, amount), prompt (amount: estimated tokens), lifecycle (action), proxy (retrieved, used), snapshot
+    (items, amount: estimated tokens). Means, percentiles and ratios of nothing are 0; the last snapshot counts."""
+    of = lambda kind, value=None: F.when(F.col("kind") == kind, F.lit(1) if value is None else F.col(value))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    tokens = lambda kind: total(F.when(F.col("token_kind") == kind, of("tokens", "amount")))
+    acted = lambda action: F.count(F.when(F.col("action") == action, of("lifecycle")))
+    last = lambda c: F.coalesce(F.max_by(c, of("snapshot", "_when")), F.lit(0))
+    latency = F.when(F.col("latency_ms") > 0, of("latency", "latency_ms"))
+    out = records.withColumn("_when", F.struct("ms", "event_id")).groupBy("config_id", "run_id").agg(
+        F.count(of("latency")).alias("request_count"), *_latency_points(latency),
+        total(of("tokens", "amount")).alias("tokens_total"), tokens("embedding").alias("tokens_embedding"), tokens("generation").alias("tokens_generation"),
+        F.count(of("prompt")).alias("prompts_count"), F.coalesce(F.avg(of("prompt", "amount")), F.lit(0.0)).alias("prompt_tokens_est_avg"),
+        *[acted(a).alias(f"lifecycle_{a}") for a in ("delete", "compact", "promote", "retain")],
+        F.count(of("proxy")).alias("retrieval_requests"), total(of("proxy", "retrieved")).alias("retrieved_total"), total(of("proxy", "used")).alias("used_total"),
+        last("items").alias("final_memory_items"), last("amount").alias("final_memory_tokens_est"),
+    )
+    ratio = F.when(F.col("retrieved_total") > 0, F.col("used_total") / F.col("retrieved_total")).otherwise(0.0)
+    return out.withColumns({"run_key": F.concat_ws("::", "config_id", "run_id"), "retrieval_used_ratio": ratio})
+
+
+def config_report(records: DataFrame) -> DataFrame:
+    """The runs of each configuration together; percentiles are over all its requests, final sizes means over runs."""
+    latency = F.when((F.col("kind") == "latency") & (F.col("latency_ms") > 0), F.col("latency_ms"))
+    points = records.groupBy("config_id").agg(*_latency_points(latency)).withColumnRenamed("config_id", "_config")
+    summed = ["request_count", "tokens_total", "tokens_embedding", "tokens_generation", "lifecycle_delete", "lifecycle_compact", "lifecycle_promote", "lifecycle_retain", "retrieved_total", "used_total"]
+    means = [F.avg(c).alias(f"{c}_avg") for c in ("final_memory_items", "final_memory_tokens_est")]
+    runs = run_report(records).groupBy("config_id").agg(F.count("*").alias("run_count"), *[F.sum(c).alias(c) for c in summed], *means)
+    ratio = F.when(F.col("retrieved_total") > 0, F.col("used_total") / F.col("retrieved_total")).otherwise(0.0)
+    return runs.join(points, F.col("config_id").eqNullSafe(F.col("_config"))).drop("_config").withColumn("retrieval_used_ratio", ratio)
+
+
 def group_stats(rows: DataFrame, keys: list[str], metrics: list[str], seed: str) -> DataFrame:
     """Mean, sample deviation, least and largest of each metric, and different seeds; null groups stay."""
     aggs = [f(m).alias(f"{m}_{n}") for m in metrics for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]

@@ -113,3 +113,42 @@ def acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, CASE WHEN split_part(url, '?', 1) LIKE '%/ask' THEN 'ask' WHEN split_part(url, '?', 1) LIKE '%/search' THEN 'search' WHEN split_part(url, '?', 1) LIKE '%/docs%' THEN 'docs' WHEN split_part(url, '?', 1) LIKE '%/memory%' THEN 'memory' ELSE 'other' END AS endpoint FROM pages")
 def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", T.endpoint(F.col("url")).alias("endpoint"))
+
+
+RECORDS = {
+    "config_id": "'c' || (user_id % 3)", "run_id": "'r' || (user_id % 5)", "event_id": "event_id",
+    "kind": "CASE event_id % 6 WHEN 0 THEN 'latency' WHEN 1 THEN 'tokens' WHEN 2 THEN 'prompt' WHEN 3 THEN 'lifecycle' WHEN 4 THEN 'proxy' ELSE 'snapshot' END",
+    "latency_ms": "round(value, 3)", "token_kind": "CASE WHEN user_id % 2 = 0 THEN 'embedding' ELSE 'generation' END", "amount": "CAST(round(value) AS BIGINT)",
+    "action": "CASE event_type WHEN 'view' THEN 'retain' WHEN 'click' THEN 'promote' WHEN 'error' THEN 'delete' ELSE 'compact' END",
+    "retrieved": "event_id % 20", "used": "event_id % 20 // 2", "items": "event_id % 1000",
+}
+_RECORDS = f"t AS (SELECT {', '.join(f'{e} AS {n}' for n, e in RECORDS.items())}, (epoch_us(ts) // 1000) AS ms FROM events)"
+_LATENCY = "coalesce(round(avg(latency_ms) FILTER (WHERE kind = 'latency' AND latency_ms > 0), 6), 0) AS latency_avg_ms, " + ", ".join(f"coalesce(round(quantile_cont(latency_ms, {p}) FILTER (WHERE kind = 'latency' AND latency_ms > 0), 5), 0) AS latency_p{round(p * 100)}_ms" for p in T.POINTS)
+_SUM = "CAST(coalesce(sum({0}) FILTER (WHERE {1}), 0) AS BIGINT)"
+_RUNS = f"""SELECT config_id, run_id, config_id || '::' || run_id AS run_key, count(*) FILTER (WHERE kind = 'latency') AS request_count, {_LATENCY},
+{_SUM.format("amount", "kind = 'tokens'")} AS tokens_total, {_SUM.format("amount", "kind = 'tokens' AND token_kind = 'embedding'")} AS tokens_embedding, {_SUM.format("amount", "kind = 'tokens' AND token_kind = 'generation'")} AS tokens_generation,
+count(*) FILTER (WHERE kind = 'prompt') AS prompts_count, coalesce(round(avg(amount) FILTER (WHERE kind = 'prompt'), 6), 0) AS prompt_tokens_est_avg, {", ".join(f"count(*) FILTER (WHERE kind = 'lifecycle' AND action = '{a}') AS lifecycle_{a}" for a in ("delete", "compact", "promote", "retain"))},
+count(*) FILTER (WHERE kind = 'proxy') AS retrieval_requests, {_SUM.format("retrieved", "kind = 'proxy'")} AS retrieved_total, {_SUM.format("used", "kind = 'proxy'")} AS used_total,
+coalesce(last(items ORDER BY ms, event_id) FILTER (WHERE kind = 'snapshot'), 0) AS final_memory_items, coalesce(last(amount ORDER BY ms, event_id) FILTER (WHERE kind = 'snapshot'), 0) AS final_memory_tokens_est FROM t GROUP BY config_id, run_id"""
+_RATIO = "CASE WHEN retrieved_total > 0 THEN round(used_total / retrieved_total, 6) ELSE 0 END AS retrieval_used_ratio"
+_SUMMED = ["request_count", "tokens_total", "tokens_embedding", "tokens_generation", "lifecycle_delete", "lifecycle_compact", "lifecycle_promote", "lifecycle_retain", "retrieved_total", "used_total"]
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = RECORDS | {"ms": "unix_millis(CAST(ts AS TIMESTAMP))", "used": "event_id % 20 div 2"}
+    return load(spark, sf_dir, "events").selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    places = lambda c: 5 if "_p" in c and c.startswith("latency") else 6
+    return df.select(*[F.round(c, places(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@query(f"WITH {_RECORDS}, r AS ({_RUNS}) SELECT *, {_RATIO} FROM r")
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(T.run_report(_records(spark, sf_dir)))
+
+
+@query(f"WITH {_RECORDS}, r AS ({_RUNS}), l AS (SELECT config_id, {_LATENCY} FROM t GROUP BY config_id), c AS (SELECT config_id, count(*) AS run_count, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in _SUMMED)}, round(avg(final_memory_items), 6) AS final_memory_items_avg, round(avg(final_memory_tokens_est), 6) AS final_memory_tokens_est_avg FROM r GROUP BY config_id) SELECT *, {_RATIO} FROM c JOIN l USING (config_id)")
+def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(T.config_report(_records(spark, sf_dir)))
