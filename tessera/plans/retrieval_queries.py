@@ -131,9 +131,62 @@ def sentence_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.answers(_picks(spark, sf_dir), QUESTION)
 
 
-@query()
+_PLACED = f"{CANDIDATES}, f AS (SELECT *, {_RRF} + {_BOOST} AS fused FROM o), p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY fused DESC, recency DESC, vector_rank ASC NULLS LAST, vector_score DESC NULLS LAST, lexical_rank ASC NULLS LAST, lexical_score DESC NULLS LAST, idx, chunk_id) AS place FROM f)"
+
+
+def _prompt_sql(template: str, citation: str) -> str:
+    head = R.prompt_head(template, citation).replace("'", "''")
+    return f"SELECT case_id, '{template}' AS template, '{head}' || chr(10) || chr(10) || string_agg('[' || chunk_id || '] ' || text, chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: {QUESTION}' AS prompt FROM p WHERE place <= 8 GROUP BY case_id"
+
+
+_PROMPTS = [("answer", "metadata"), ("boolean", "metadata"), ("code", "inline")]
+
+
+@query(f"WITH {_PLACED}, written AS ({' UNION ALL '.join(_prompt_sql(*x) for x in _PROMPTS)}) SELECT *, CAST(ceil(length(prompt) / 4) AS BIGINT) AS tokens FROM written")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.prompts(_picks(spark, sf_dir).filter("place <= 8"), QUESTION)
+    picks, out = _picks(spark, sf_dir).filter("place <= 8"), None
+    for template, citation in _PROMPTS:
+        own = R.prompts(picks, QUESTION, template, citation).withColumn("template", F.lit(template))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query()
+def code_file_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.code_picks(_picks(spark, sf_dir), "debug").select("case_id", "chunk_id", "place", "source")
+
+
+_DOC_WORDS = r"regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)"
+_BYTE = "CAST('0x' || substr(d, {0} * 2 + 1, 2) AS INTEGER)"
+_SEARCH = rf"""x AS (SELECT 'd' || doc_id || '#0' AS id, doc_id AS idx, text FROM documents), q AS (SELECT 'b' || item_id AS id, text FROM benchmark), both_ AS (SELECT id, text FROM x UNION ALL SELECT id, text FROM q),
+tk AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9._:@-]+'), lambda t: t <> '')) AS token FROM both_) GROUP BY ALL),
+dg AS (SELECT token, sha256(token) AS d, unnest([0, 4, 8, 12, 16, 20, 24, 28]) AS i FROM (SELECT DISTINCT token FROM tk)),
+pt AS (SELECT token, ({_BYTE.format("i")} * 256 + {_BYTE.format("(i + 1)")}) % 64 AS k, CASE WHEN {_BYTE.format("(i + 2)")} % 2 = 1 THEN 1 ELSE -1 END * (0.25::DOUBLE + {_BYTE.format("(i + 3)")} / 255.0::DOUBLE * 0.75::DOUBLE) AS x FROM dg),
+ft AS (SELECT id, k, sum(x * n) AS x FROM tk JOIN pt USING (token) GROUP BY id, k), nf AS (SELECT id, k, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ft),
+dn AS (SELECT a.id AS case_id, b.id AS chunk_id, round(sum(a.x * b.x), 6) AS score FROM nf a JOIN nf b ON a.k = b.k WHERE a.id IN (SELECT id FROM q) AND b.id IN (SELECT id FROM x) GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM dn QUALIFY r <= 20),
+dw AS (SELECT id, {_DOC_WORDS} AS w FROM x), qw AS (SELECT id, list_distinct({_DOC_WORDS}) AS w FROM q),
+lx AS (SELECT qw.id AS case_id, dw.id AS chunk_id, CAST(len(list_filter(dw.w, lambda t: list_contains(qw.w, t))) AS DOUBLE) AS score FROM qw JOIN dw ON list_has_all(dw.w, qw.w) WHERE len(qw.w) > 0),
+lr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM lx QUALIFY r <= 20)"""
+
+
+@query(f"WITH {_SEARCH} SELECT case_id, chunk_id, score FROM lr")
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.lexical_all(R.inverted_index(_chunks(spark, sf_dir)), _asked(spark, sf_dir), 20)
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "benchmark").select(F.expr("'b' || item_id").alias("case_id"), F.col("text").alias("query"))
+
+
+@query(rf"""WITH {_SEARCH}, m AS (SELECT coalesce(dr.case_id, lr.case_id) AS case_id, coalesce(dr.chunk_id, lr.chunk_id) AS chunk_id, dr.r AS vector_rank, lr.r AS lexical_rank, dr.score AS vector_score, lr.score AS lexical_score FROM dr FULL JOIN lr ON dr.case_id = lr.case_id AND dr.chunk_id = lr.chunk_id),
+o AS (SELECT m.*, x.idx, regexp_extract_all(lower(q.text), '([a-z0-9_]+)', 1) AS qt, regexp_extract_all(lower(x.text), '([a-z0-9_]+)', 1) AS xt, CASE WHEN length(trim(q.text)) >= 8 AND contains(lower(x.text), lower(trim(q.text))) THEN 1.0::DOUBLE ELSE 0 END AS exact FROM m JOIN x ON x.id = m.chunk_id JOIN q ON q.id = m.case_id),
+f AS (SELECT *, {_RRF} + 0.12::DOUBLE * CASE WHEN len(qt) > 0 THEN len(list_filter(qt, lambda t: list_contains(xt, t))) / len(qt) ELSE 0 END + 0.08::DOUBLE * exact AS fused FROM o)
+SELECT case_id, chunk_id, round(fused, 6) AS fused, row_number() OVER (PARTITION BY case_id ORDER BY fused DESC, vector_rank ASC NULLS LAST, vector_score DESC NULLS LAST, lexical_rank ASC NULLS LAST, lexical_score DESC NULLS LAST, idx, chunk_id) AS place FROM f QUALIFY place <= 10""")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item asks all documents; vector and word search feed the fusion."""
+    out = R.hybrid_search(_chunks(spark, sf_dir), _asked(spark, sf_dir))
+    return out.select("case_id", "chunk_id", F.round("fused", 6).alias("fused"), F.col("place").cast("long").alias("place"))
 
 
 @query("WITH c AS (SELECT doc_id, len(regexp_extract_all(text, '[0-9]')) AS n FROM documents) SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS digits FROM c")
