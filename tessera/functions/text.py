@@ -197,14 +197,22 @@ def dense_vectors(features: DataFrame, key: str, dim: int = 64) -> DataFrame:
     return filled.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("vec"))
 
 
+#: What code_structure looks for, by name; the first group is the name found.
+CODE_NAMES = {
+    "exports": r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+([A-Za-z0-9_$]+)",
+    "imports": r"(?:\bfrom\s+|\brequire\(\s*|\bimport\s+)['\"]([^'\"]+)['\"]",
+    "symbols": r"\b(?:function|class|def|fn|interface|type|enum)\s+([A-Za-z0-9_$]+)",
+    "calls": r"\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\(",
+    "routes": r"\.(?:get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]",
+    "env": r"process\.env\.([A-Z0-9_]+)",
+}
+
+
 def code_structure(text: Column | str) -> Column:
     """Names a source file exports, imports, defines and calls, its routes and environment variables, sorted."""
-    sets = {
-        "exports": r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+([A-Za-z0-9_$]+)",
-        "imports": r"(?:\bfrom\s+|\brequire\(\s*|\bimport\s+)['\"]([^'\"]+)['\"]",
-        "symbols": r"\b(?:function|class|def|fn|interface|type|enum)\s+([A-Za-z0-9_$]+)",
-        "calls": r"\b([A-Za-z_$][A-Za-z0-9_$]*)\s*\(",
-        "routes": r"\.(?:get|post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]",
-        "env": r"process\.env\.([A-Z0-9_]+)",
-    }
-    return F.struct(*[F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1)))).alias(n) for n, p in sets.items()])
+    return F.struct(*[F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(p), F.lit(1)))).alias(n) for n, p in CODE_NAMES.items()])
+
+
+def without_empty_chunks(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """Chunks with their lines sanitised; those that nothing is left of are dropped."""
+    return chunks.withColumn(text, sanitized(text)).filter(F.col(text) != "")

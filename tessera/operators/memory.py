@@ -20,7 +20,7 @@ TIERS = {"hot_up": 0.70, "hot_down": 0.62, "warm_up": 0.45, "warm_down": 0.25}
 
 def clamp(x: Column, low: float, high: float) -> Column:
     """Null is the lower bound."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), x)), F.lit(low))
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x))).otherwise(F.lit(low))  # greatest and least skip nulls
 
 
 def sigmoid(x: Column) -> Column:

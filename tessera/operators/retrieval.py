@@ -215,6 +215,18 @@ def evaluate(places: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     return wanted.join(found, "case_id", "left").select("case_id", (F.coalesce("found", F.lit(0)) / F.col("wanted")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("rr"), (F.coalesce("gain", F.lit(0.0)) / ideal).alias("ndcg"))
 
 
+def evidence_hits(places: DataFrame, evidence: DataFrame, k: int) -> DataFrame:
+    """Per case with evidence, 1 if any of its evidence is among the first k, else 0."""
+    top = places.filter(F.col("place") <= k).select("case_id", "chunk_id", F.lit(1).alias("hit"))
+    return evidence.select("case_id", "chunk_id").distinct().join(top, ["case_id", "chunk_id"], "left").groupBy("case_id").agg(F.max(F.coalesce("hit", F.lit(0))).cast("double").alias("evidence"))
+
+
+def mean_quality(scores: DataFrame, evidence: DataFrame) -> DataFrame:
+    """One row, the means over cases; a case without evidence has no part in the mean of that."""
+    both = scores.join(evidence, "case_id", "left")
+    return both.agg(F.count("*").alias("cases"), *[F.avg(c).alias(c) for c in ("recall", "rr", "ndcg", "evidence")])
+
+
 def diverse(candidates: DataFrame, *, most: int = 12, chars: int = 12_000, per_source: int = 3, sources: int = 4) -> DataFrame:
     """(case_id, source, place, text) -> the picked rows of each case.
 

@@ -91,13 +91,24 @@ def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3)).select("case_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
-@query(f"WITH {_FINAL}, r AS (SELECT DISTINCT 'c' || id % 7 AS case_id, 'd' || id AS chunk_id FROM items WHERE id % 10 = 1), h AS (SELECT p.*, r.chunk_id IS NOT NULL AS hit FROM p LEFT JOIN r ON r.case_id = p.case_id AND r.chunk_id = p.chunk_id), g AS (SELECT case_id, count(*) FILTER (WHERE hit AND place <= 10) AS found, min(place) FILTER (WHERE hit) AS first, sum(CASE WHEN hit AND place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) AS gain FROM h GROUP BY case_id), n AS (SELECT case_id, count(*) AS wanted FROM r GROUP BY case_id) SELECT n.case_id, round(coalesce(found, 0) / wanted, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN g ON g.case_id = n.case_id")
+_EVALUATED = f"WITH {_FINAL}, r AS (SELECT DISTINCT 'c' || id % 7 AS case_id, 'd' || id AS chunk_id FROM items WHERE id % 10 = 1), h AS (SELECT p.*, r.chunk_id IS NOT NULL AS hit FROM p LEFT JOIN r ON r.case_id = p.case_id AND r.chunk_id = p.chunk_id), g AS (SELECT case_id, count(*) FILTER (WHERE hit AND place <= 10) AS found, min(place) FILTER (WHERE hit) AS first, sum(CASE WHEN hit AND place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) AS gain FROM h GROUP BY case_id), n AS (SELECT case_id, count(*) AS wanted FROM r GROUP BY case_id) SELECT n.case_id, round(coalesce(found, 0) / wanted, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN g ON g.case_id = n.case_id"
+
+
+@query(_EVALUATED)
 def eval_recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3))
     relevant = items(spark, sf_dir).filter("id % 10 = 1").select(F.expr("'c' || id % 7").alias("case_id"), F.expr("'d' || id").alias("chunk_id")).distinct()
     return R.evaluate(places, relevant, 10).select("case_id", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
+@query(f"WITH scores AS ({_EVALUATED}), e AS (WITH {_FINAL} SELECT p.case_id, max(CASE WHEN place <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS evidence FROM p WHERE idx % 50 = 1 GROUP BY p.case_id) SELECT count(*) AS cases, round(avg(recall), 5) AS recall, round(avg(rr), 5) AS rr, round(avg(ndcg), 5) AS ndcg, round(avg(evidence), 5) AS evidence FROM scores LEFT JOIN e ON e.case_id = scores.case_id")
+def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3))
+    scores = eval_recall_mrr_ndcg(spark, sf_dir)
+    means = R.mean_quality(scores, R.evidence_hits(places, places.filter("idx % 50 = 1"), 10))
+    return means.select("cases", *[F.round(c, 5).alias(c) for c in ("recall", "rr", "ndcg", "evidence")])
+
+
 @query(f"WITH {ITEMS_SQL} SELECT id, CASE WHEN id % 5 = 0 THEN 'all' WHEN id % 5 = 1 THEN 'off' WHEN pinned THEN 'item' WHEN item_type IN ('episodic', 'conversation') THEN 'memory' WHEN collection = 'en' THEN 'context' ELSE 'off' END AS mode FROM items")
 def recency_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     explicit = F.when(F.col("id") % 5 == 0, True).when(F.col("id") % 5 == 1, False)

@@ -90,6 +90,12 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.dense_vectors(X.hashed_features(load(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
-@query()
+def _names_sql(column: str, pattern: str) -> str:
+    literal = pattern.replace("'", "''")
+    return f"array_to_string(list_sort(list_distinct(regexp_extract_all({column}, '{literal}', 1))), ',')"
+
+
+@query("SELECT page_id, " + ", ".join(f"{_names_sql('html', p)} AS {n}" for n, p in X.CODE_NAMES.items()) + " FROM pages")
 def code_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select("page_id", X.code_structure(F.col("html")).alias("found"))
+    found = load(spark, sf_dir, "pages").select("page_id", X.code_structure(F.col("html")).alias("found"))
+    return found.select("page_id", *[F.array_join(f"found.{n}", ",").alias(n) for n in X.CODE_NAMES])
