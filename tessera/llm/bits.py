@@ -6,6 +6,7 @@ with very many keys it lets more rows through and is never wrong about those it
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,3 +31,18 @@ def flagged(rows: DataFrame, key: str, bits: DataFrame, flag: str) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     held = F.floor(byte / F.pow(F.lit(2), bit.bitwiseAND(7))) % 2 == 1
     return joined.withColumn(flag, F.coalesce(held, F.lit(False))).drop("_bits_row", "_bits")
+
+
+def bit_table(bits: DataFrame) -> np.ndarray:
+    """The filter's bytes for tasks that use numpy; of a fixed size, whatever the number of keys."""
+    table = np.zeros((1 << ROWS, 1 << ROW_BITS - 3), np.uint8)
+    for row in bits.collect():
+        table[row["_bits_row"]] = np.frombuffer(row["_bits"], np.uint8)
+    return table.ravel()
+
+
+def holds(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the filter may hold the keys (int64); false is certain."""
+    row, bit = (keys >> (64 - ROWS)) + (1 << ROWS - 1), keys & ((1 << ROW_BITS) - 1)
+    at = (row << ROW_BITS) + bit
+    return table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
