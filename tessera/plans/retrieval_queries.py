@@ -31,11 +31,6 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lexical_topk(_chunks(spark, sf_dir), "the").select("chunk_id", "lexical_score")
 
 
-@query()
-def lexical_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_topk(_chunks(spark, sf_dir), "the of", 100).select("chunk_id", "lexical_score")
-
-
 @query(rf"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS token FROM documents), t AS (SELECT token, doc_id, count(*) AS n FROM w GROUP BY ALL) SELECT token, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS positions FROM t GROUP BY token")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.inverted_index(_chunks(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("positions"))
