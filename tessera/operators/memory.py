@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import SLICE_ROWS, sliced
+
 DAY_MS = 86_400_000
 DECAY = math.log(2) / 30
 ALPHA, BETA, NEGATIVE, MOST = 0.08, 0.20, 0.08, 1.0
@@ -64,29 +66,33 @@ def event_effect(kind: str) -> float:
     return {"retrieved": ALPHA, "used_in_answer": ALPHA + BETA, "user_positive": ALPHA + BETA, "user_negative": -NEGATIVE}.get(kind, 0.0)
 
 
-def fold_values(events: DataFrame, key: str = "memory_id", start: float = 0.5) -> DataFrame:
+def fold_values(events: DataFrame, key: str = "memory_id", start: float = 0.5, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """M5: the value of each item after its events in order (by ms, event_id): decay since the last one, effect, cap.
 
-    The cap makes order matter. A step is v -> min(MOST, max(0, v * d + e)); such steps compose to
-    steps of the form min(c, max(b, v * a + s)), so an item's events fold in any grouping: batches are
-    composed first, in order of time slices, and only a row an item and slice is shuffled further.
+    The cap makes order matter. A step is v -> min(MOST, max(0, v * d + e)); such steps compose to steps of the form
+    min(c, max(b, v * a + s)), so a history folds in any grouping. Histories are cut into slices of time first, by a range
+    partitioning of all events; a slice knows its composed step and its first and last time, and the slices of an item
+    are stitched with the decay across the gap between them. No item's history is sorted or gathered as one.
     """
-    w = Window.partitionBy(key).orderBy("ms", "event_id")
-    gap = F.coalesce((F.col("ms") - F.lag("ms").over(w)) / DAY_MS, F.lit(0.0))
-    steps = events.withColumn("a", F.exp(-DECAY * gap)).withColumn("n", F.row_number().over(w))
+    slices = sliced(events.select(key, "ms", "event_id", "kind"), [key], ["ms", "event_id"], slice_rows, "event_slices")
+    w = Window.partitionBy(key, "_slice").orderBy("ms", "event_id")
+    faded = lambda ms, before: F.exp(-DECAY * F.coalesce((ms - before) / DAY_MS, F.lit(0.0)))
     effect = F.create_map(*[x for k in ("retrieved", "used_in_answer", "user_positive", "user_negative") for x in (F.lit(k), F.lit(event_effect(k)))])
-    steps = steps.withColumn("s", F.coalesce(F.element_at(effect, F.col("kind")), F.lit(0.0))).withColumn("slice", F.floor((F.col("n") - 1) / 10_000).cast("int"))
-    order = F.struct("n", "a", "s")
+    steps = slices.withColumn("a", faded(F.col("ms"), F.lag("ms").over(w))).withColumn("s", F.coalesce(F.element_at(effect, F.col("kind")), F.lit(0.0)))
     unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("s"), F.lit(float("-inf")).alias("b"), F.lit(float("inf")).alias("c"))
 
     def then(f: Column, a: Column, s: Column, b: Column, c: Column) -> Column:
         low = lambda x: F.least(c, F.greatest(b, x))
         return F.struct((f.a * a).alias("a"), (f.s * a + s).alias("s"), low(F.greatest(b, f.b * a + s)).alias("b"), low(f.c * a + s).alias("c"))
 
-    sliced = steps.groupBy(key, "slice").agg(F.array_sort(F.collect_list(order)).alias("e"), F.count("*").alias("events"))
-    sliced = sliced.withColumn("f", F.aggregate("e", unit, lambda f, e: then(f, e.a, e.s, F.lit(0.0), F.lit(MOST))))
-    whole = sliced.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("slice", "f"))).alias("e"), F.sum("events").alias("events"))
-    whole = whole.withColumn("f", F.aggregate("e", unit, lambda f, e: then(f, e.f.a, e.f.s, e.f.b, e.f.c)))
+    def stitched(done: Column, own: Column) -> Column:
+        """The steps so far, the decay up to the slice, the slice."""
+        return F.struct(then(done.f, faded(own.first, done.last) * own.f.a, own.f.s, own.f.b, own.f.c).alias("f"), own.last.alias("last"))
+
+    own = steps.groupBy(key, "_slice").agg(F.array_sort(F.collect_list(F.struct("ms", "event_id", "a", "s"))).alias("e"), F.min("ms").alias("first"), F.max("ms").alias("last"), F.count("*").alias("events"))
+    own = own.withColumn("f", F.aggregate("e", unit, lambda f, e: then(f, e.a, e.s, F.lit(0.0), F.lit(MOST))))
+    whole = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_slice", "first", "last", "f"))).alias("e"), F.sum("events").alias("events"))  # a row a slice
+    whole = whole.withColumn("f", F.aggregate("e", F.struct(unit.alias("f"), F.lit(None).cast("long").alias("last")), stitched).f)
     return whole.select(key, "events", F.least("f.c", F.greatest("f.b", start * F.col("f.a") + F.col("f.s"))).alias("value"))
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import SLICE_ROWS, exact_percentiles, numbered, running_sum
+
 POINTS = (0.5, 0.9, 0.95, 0.99)
 
 
@@ -20,6 +22,11 @@ def linear(column: str, p: float) -> Column:
     return F.percentile(column, p)
 
 
+def percentiles(requests: DataFrame, keys: list[str], column: str, points: tuple[float, ...] = POINTS, by_rank: bool = True, **limits: int) -> DataFrame:
+    """A10: keys and p50, p90, ... over all requests, by nearest rank or interpolated; no group is too large for it."""
+    return exact_percentiles(requests, keys, column, {f"p{round(p * 100)}": p for p in points}, linear=not by_rank, **limits)
+
+
 def last_values(requests: DataFrame, keys: list[str], n: int = 500) -> DataFrame:
     """The newest n rows of each group. The filter on the rank lets every task drop the rest before anything moves."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.desc("ms"), F.desc("event_id"))
@@ -56,11 +63,10 @@ def histogram(requests: DataFrame, column: str, bins: int = 16) -> DataFrame:
     return requests.join(F.broadcast(ends)).groupBy(at.cast("long").alias("bin")).agg(F.count("*").alias("n"))  # one row is broadcast
 
 
-def tail_curve(requests: DataFrame, key: str, column: str) -> DataFrame:
-    """By row number, not by ties: ECDF i / n and CCDF 1 - i / n."""
-    w = Window.partitionBy(key)
-    i = F.row_number().over(w.orderBy(column, "event_id"))
-    return requests.select(key, "event_id", column, (i / F.count("*").over(w)).alias("ecdf"), (1 - i / F.count("*").over(w)).alias("ccdf"))
+def tail_curve(requests: DataFrame, key: str, column: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """By row number, not by ties: ECDF i / n and CCDF 1 - i / n. A run's numbers are told slice by slice."""
+    told = numbered(requests.select(key, "event_id", column), [key], [column, "event_id"], "_i", "_n", slice_rows)
+    return told.select(key, "event_id", column, (F.col("_i") / F.col("_n")).alias("ecdf"), (1 - F.col("_i") / F.col("_n")).alias("ccdf"))
 
 
 def throughput(requests: DataFrame, run: str, seconds: int = 60) -> DataFrame:
@@ -132,10 +138,10 @@ def group_stats(rows: DataFrame, keys: list[str], metrics: list[str], seed: str)
     return rows.groupBy(*keys).agg(F.count_distinct(seed).alias("seeds"), *aggs)
 
 
-def running_tokens(events: DataFrame, run: str, tokens: str) -> DataFrame:
-    """Running sum of tokens of each run."""
-    w = Window.partitionBy(run).orderBy("ms", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.select(run, "event_id", F.sum(tokens).over(w).alias("running"))
+def running_tokens(events: DataFrame, run: str, tokens: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Running sum of tokens of each run, by ms and event_id; slices of a run add the sum of those before them."""
+    told = running_sum(events.select(run, "ms", "event_id", F.col(tokens).alias("_tokens")), [run], ["ms", "event_id"], "_tokens", "running", slice_rows)
+    return told.select(run, "event_id", "running")
 
 
 def used_ratio(events: DataFrame) -> DataFrame:

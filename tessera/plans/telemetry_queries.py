@@ -55,12 +55,18 @@ def latency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {R} SELECT route, round(quantile_disc(latency, 0.5), 6) AS p50, round(quantile_disc(latency, 0.95), 6) AS p95 FROM r GROUP BY route")
 def latency_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(spark, sf_dir).groupBy("route").agg(F.round(T.nearest_rank("latency", 0.5), 6).alias("p50"), F.round(T.nearest_rank("latency", 0.95), 6).alias("p95"))
+    return T.percentiles(_requests(spark, sf_dir), ["route"], "latency", (0.5, 0.95)).select("route", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
 
 
 @query(f"WITH {R} SELECT route, round(quantile_cont(latency, 0.5), 5) AS p50, round(quantile_cont(latency, 0.95), 5) AS p95 FROM r GROUP BY route")
 def latency_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _requests(spark, sf_dir).groupBy("route").agg(F.round(T.linear("latency", 0.5), 5).alias("p50"), F.round(T.linear("latency", 0.95), 5).alias("p95"))
+    return T.percentiles(_requests(spark, sf_dir), ["route"], "latency", (0.5, 0.95), by_rank=False).select("route", F.round("p50", 5).alias("p50"), F.round("p95", 5).alias("p95"))
+
+
+@query(f"WITH {R} SELECT round(quantile_disc(latency, 0.5), 6) AS p50, round(quantile_disc(latency, 0.9), 6) AS p90, round(quantile_disc(latency, 0.95), 6) AS p95, round(quantile_disc(latency, 0.99), 6) AS p99 FROM r")
+def latency_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests as one group, whose ranks are selected in rounds and not sorted for."""
+    return T.percentiles(_requests(spark, sf_dir), [], "latency", large=0).select(*[F.round(c, 6).alias(c) for c in ("p50", "p90", "p95", "p99")])
 
 
 @query(f"WITH {R}, e AS (SELECT min(latency) AS lo, max(latency) AS hi FROM r) SELECT CAST(CASE WHEN hi > lo THEN least(15, floor((latency - lo) / ((hi - lo) / 16))) ELSE 0 END AS BIGINT) AS bin, count(*) AS n FROM r, e GROUP BY 1")
