@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bits import bit_filter, bit_table, holds
 from tessera.storage import materialize, release
 
-BLOCK_TOKENS, SEGMENT_BYTES = 1 << 20, 1 << 22
+BLOCK_TOKENS, SEGMENT_BYTES = 1 << 18, 1 << 22
 #: A word, or one of the characters that end a piece.
 TOKEN = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]")
 PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
