@@ -122,7 +122,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int =
 
     vectors = dense_vectors(hashed_features(chunks, "chunk_id", "text", dim), "chunk_id", dim).select(F.col("chunk_id").alias("id"), "vec")
     asked = dense_vectors(hashed_features(queries, "case_id", "query", dim), "case_id", dim).select(F.col("case_id").alias("query_id"), F.col("vec").alias("query"))
-    near = exact_topk(materialize(vectors, "chunk_vectors"), materialize(asked, "query_vectors"), 2 * k)
+    near = exact_topk(materialize(vectors, "chunk_vectors"), materialize(asked, "query_vectors"), 2 * k, digits=6)  # sums of features in any order tie
     dense = near.select(F.col("query_id").alias("case_id"), F.col("id").alias("chunk_id"), "score")
     lexical = lexical_all(materialize(inverted_index(chunks), "postings"), queries, 2 * k)
     found = merged(dense, lexical).join(chunks, "chunk_id").join(queries, "case_id").withColumn("recency", F.lit(None).cast("double"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.prefix import SLICE_ROWS, numbered
+
 
 def dot(a: Column | str, b: Column | str) -> Column:
     """Inner product in double."""
@@ -56,31 +58,40 @@ def best_per_query(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(0, k))
 
 
-#: Queries, and vectors, compared at once; bytes of query vectors that may be sent to every task.
+#: Queries and vectors of one matrix product; bytes of query vectors that may be sent to every task, and of a block beyond that.
 BLOCK_QUERIES, PART_VECTORS, BROADCAST_BYTES = 512, 8192, 32 << 20
+#: Products of matrices may differ from plain ones by this much; what is so close to the last place is scored again.
+SLACK = 1e-9
 
 
-def _best_of_block(ids: pd.Series, vecs: pd.Series, names: pd.Series, queries: pd.Series, k: int) -> pd.DataFrame:
+def _best_of_block(ids: pd.Series, vecs: pd.Series, names: pd.Series, queries: pd.Series, k: int, digits: int | None) -> pd.DataFrame:
     """query_id, id, score of each query's k best among these vectors, ties to the smaller id."""
     order = np.argsort(ids.to_numpy(), kind="stable")
-    ids, x, q = ids.to_numpy()[order], np.stack(vecs.to_numpy()[order]), np.stack(queries.to_numpy())
-    lengths = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
-    scores = np.round(np.divide(q @ x.T, lengths, out=np.zeros(lengths.shape), where=lengths > 0), 6)
+    ids, names = ids.to_numpy()[order], names.to_numpy()
+    x, q = (v / np.where(n > 0, n, 1)[:, None] for v in (np.stack(vecs.to_numpy()[order]), np.stack(queries.to_numpy())) for n in [np.sqrt((v * v).sum(axis=1))])
     found = []
-    for name, own in zip(names, scores, strict=True):
-        least = np.partition(own, -k)[-k] if k < len(own) else -np.inf
-        near = np.flatnonzero(own >= least)
-        near = near[np.argsort(-own[near], kind="stable")[:k]]  # ids are sorted, so ties go to the smaller one
-        found.append(pd.DataFrame({"query_id": name, "id": ids[near], "score": own[near]}))
+    for at in range(0, len(q), BLOCK_QUERIES):
+        near: list[list[np.ndarray]] = [[] for _ in q[at : at + BLOCK_QUERIES]]
+        for start in range(0, len(x), PART_VECTORS):
+            for own, scores in zip(near, q[at : at + BLOCK_QUERIES] @ x[start : start + PART_VECTORS].T, strict=True):
+                least = np.partition(scores, -k)[-k] if k < len(scores) else -np.inf
+                own.append(start + np.flatnonzero(scores >= least - SLACK - 10.0**-digits if digits else scores >= least - SLACK))
+        for i, own in enumerate(near, at):
+            js = np.concatenate(own)
+            scores = (x[js] * q[i]).sum(axis=1)  # equal vectors have equal scores, wherever they lie
+            scores = scores if digits is None else np.round(scores, digits)
+            best = np.argsort(-scores, kind="stable")[:k]  # ids are sorted, so ties go to the smaller one
+            found.append(pd.DataFrame({"query_id": names[i], "id": ids[js[best]], "score": scores[best]}))
     return pd.concat(found)
 
 
-def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def exact_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """V5: exact cosine top-k. Queries without length or of another dimension give nothing; k below 0 is 0.
 
-    While a count and the longest vector bound their size, queries go to every task and each batch of vectors meets
-    them in blocks, by matrix products. Beyond that, numbered blocks of queries and parts of vectors meet in groups of
-    bounded size. Either way only the k best of each query leave a task."""
+    digits: scores that are equal so far tie; by default whole scores are ranked. While a count and the longest vector bound
+    their size, queries are broadcast and each batch of vectors meets them in blocks, by matrix products. Beyond that,
+    numbered blocks of queries and parts of vectors, both of that size, meet in groups: a vector is copied once
+    per block of queries. Either way only the k best of each query leave a task."""
     asked = queries.filter(norm("query") > 0).select("query_id", F.col("query").cast("array<double>").alias("query")).withColumn("d", F.size("query"))
     rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).withColumn("d", F.size("vec")).filter("d > 0")
     told = asked.agg(F.count("*").alias("n"), F.max("d").alias("d")).first()
@@ -88,25 +99,25 @@ def exact_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if k <= 0 or not told["n"]:
         return best_per_query(vectors.sparkSession.createDataFrame([], kinds), 0)
     if told["n"] * told["d"] * 8 <= BROADCAST_BYTES:
-        held = asked.toPandas()
+        shared = vectors.sparkSession.sparkContext.broadcast(asked.toPandas())
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for d, part in b.groupby("d"):
-                    fit = held[held["d"] == d]
-                    for at in range(0, len(fit), BLOCK_QUERIES):
-                        block = fit.iloc[at : at + BLOCK_QUERIES]
-                        yield _best_of_block(part["id"], part["vec"], block["query_id"], block["query"], k)
+                    fit = shared.value[shared.value["d"] == d]
+                    if len(fit):
+                        yield _best_of_block(part["id"], part["vec"], fit["query_id"], fit["query"], k, digits)
 
         return best_per_query(rows.mapInPandas(run, kinds), k)
 
     def meet(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(block):
             return pd.DataFrame({"query_id": block["query_id"].iloc[:0], "id": part["id"].iloc[:0], "score": np.empty(0)})
-        return _best_of_block(part["id"], part["vec"], block["query_id"], block["query"], k)
+        return _best_of_block(part["id"], part["vec"], block["query_id"], block["query"], k, digits)
 
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks, parts = -(-told["n"] // BLOCK_QUERIES), max(1, -(-rows.count() // PART_VECTORS))
+    block_rows = max(BLOCK_QUERIES, BROADCAST_BYTES // (told["d"] * 8))
+    blocks, parts = -(-told["n"] // block_rows), max(1, -(-rows.count() // block_rows))
     left = rows.withColumn("part", F.pmod(F.xxhash64("id", "vec"), F.lit(parts)).cast("int")).withColumn("block", numbers(blocks))
     right = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", numbers(parts))
     keys = ["block", "part", "d"]
@@ -140,15 +151,39 @@ def signatures(vectors: DataFrame, hyperplanes: list[list[list[float]]]) -> Data
     return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, table int, signature int")
 
 
-def ann_topk(vectors: DataFrame, queries: DataFrame, hyperplanes: list, k: int, overfetch: int = 5, allowed: DataFrame | None = None) -> DataFrame:
-    """V8, V9: candidates from equal buckets, first by table and id, at most max(k, k * overfetch); exact scores decide."""
-    if allowed is not None:
-        vectors = vectors.join(allowed.select("id").distinct(), "id", "left_semi")
+def lsh_index(vectors: DataFrame, hyperplanes: list, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """V7: (table, signature, place, id): each row's place in its bucket by id, from 1. Buckets of any size are numbered in slices."""
+    return numbered(signatures(vectors, hyperplanes), ["table", "signature"], ["id"], "place", "bucket_rows", slice_rows)
+
+
+def write_lsh_index(vectors: DataFrame, hyperplanes: list, path: str) -> DataFrame:
+    """V7: the index as files in order of bucket and place, so that a probe's filters skip what it doesn't need."""
+    order = ["table", "signature", "place"]
+    lsh_index(vectors, hyperplanes).repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    return vectors.sparkSession.read.parquet(path)
+
+
+def probe(index: DataFrame, queries: DataFrame, hyperplanes: list, cap: int, allowed: DataFrame | None = None) -> DataFrame:
+    """V8, V9: (query_id, id) of at most `cap` candidates from equal buckets, first by table and id.
+
+    Of each bucket only the first `cap` places are met: of these, at most as many repeat candidates of earlier tables as there
+    are, so the rest fills the cap as the whole bucket would. Listed ids are numbered anew within the asked buckets."""
     asked = signatures(queries.select(F.col("query_id").alias("id"), F.col("query").alias("vec")), hyperplanes).withColumnRenamed("id", "query_id")
-    found = asked.join(signatures(vectors, hyperplanes), ["table", "signature"]).groupBy("query_id", "id").agg(F.min("table").alias("table"))
+    if allowed is not None:
+        buckets = asked.select("table", "signature").distinct()
+        listed = index.join(buckets, ["table", "signature"], "left_semi").join(allowed.select("id").distinct(), "id", "left_semi")
+        index = listed.withColumn("place", F.row_number().over(Window.partitionBy("table", "signature").orderBy("id")))
+    near = asked.join(index.filter(F.col("place") <= cap), ["table", "signature"])
+    found = near.groupBy("query_id", "id").agg(F.min("table").alias("table"))
     w = Window.partitionBy("query_id").orderBy("table", "id")
-    capped = found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max(k, k * overfetch))
-    scored = capped.join(vectors, "id").join(queries, "query_id").select("query_id", "id", F.round(cosine("vec", "query"), 6).alias("score"))
+    return found.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= cap).select("query_id", "id")
+
+
+def ann_topk(vectors: DataFrame, queries: DataFrame, hyperplanes: list, k: int, overfetch: int = 5, allowed: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """V8, V9: at most max(k, k * overfetch) candidates of the index, exact scores decide. Without a stored index one is made."""
+    index = lsh_index(vectors, hyperplanes) if index is None else index
+    near = probe(index, queries, hyperplanes, max(k, k * overfetch), allowed)
+    scored = near.join(vectors, "id").join(queries, "query_id").select("query_id", "id", cosine("vec", "query").alias("score"))
     return best_per_query(scored, k)
 
 

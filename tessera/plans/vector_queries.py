@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import vectors as V
 from tessera.plans.base import query
 from tessera.sources.tables import load
+from tessera.storage import fresh_path
 
 PLANES = V.planes(64, 4, 6)
 VECTORS = "v AS (SELECT CAST(vec_id AS VARCHAR) AS id, embedding::DOUBLE[] AS vec, label FROM embeddings), q AS (SELECT id AS query_id, vec AS query FROM v WHERE CAST(id AS BIGINT) % 100 = 0)"
@@ -19,16 +20,26 @@ def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))), rows.filter(F.col("id").cast("long") % 100 == 0).select(F.col("id").alias("query_id"), F.col("vec").alias("query"))
 
 
-@query(f"WITH {VECTORS} SELECT query_id, id, round(list_cosine_similarity(vec, query), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, query), 6) DESC, id) AS rank FROM v, q QUALIFY rank <= 5")
+def _rounded(found: DataFrame) -> DataFrame:
+    """Ranked by whole scores, shown with six places."""
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _index(rows: DataFrame) -> DataFrame:
+    """A stored index of all vectors; the files go when the driver ends."""
+    return V.write_lsh_index(rows, PLANES, fresh_path(rows.sparkSession, "lsh_index"))
+
+
+@query(f"WITH {VECTORS} SELECT query_id, id, round(list_cosine_similarity(vec, query), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vec, query) DESC, id) AS rank FROM v, q QUALIFY rank <= 5")
 def vec_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.exact_topk(*_vectors(spark, sf_dir), 5)
+    return _rounded(V.exact_topk(*_vectors(spark, sf_dir), 5))
 
 
-@query(f"WITH {VECTORS}, l AS (SELECT id FROM v WHERE label = 1 UNION ALL SELECT '3' UNION ALL SELECT '7' UNION ALL SELECT '7' UNION ALL SELECT 'none') SELECT query_id, v.id, round(list_cosine_similarity(vec, query), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, query), 6) DESC, v.id) AS rank FROM v JOIN l ON v.id = l.id, q QUALIFY rank <= 5")
+@query(f"WITH {VECTORS}, l AS (SELECT id FROM v WHERE label = 1 UNION ALL SELECT '3' UNION ALL SELECT '7' UNION ALL SELECT '7' UNION ALL SELECT 'none') SELECT query_id, v.id, round(list_cosine_similarity(vec, query), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vec, query) DESC, v.id) AS rank FROM v JOIN l ON v.id = l.id, q QUALIFY rank <= 5")
 def vec_topk_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _vectors(spark, sf_dir)
     listed = rows.filter("label = 1").select("id").union(spark.createDataFrame([("3",), ("7",), ("7",), ("none",)], "id string"))
-    return V.exact_topk_subset(rows, asked, listed, 5)
+    return _rounded(V.exact_topk_subset(rows, asked, listed, 5))
 
 
 @query("SELECT label, count(*) AS n FROM embeddings WHERE NOT starts_with(CAST(vec_id AS VARCHAR), '1') GROUP BY label")
@@ -61,23 +72,23 @@ def vec_lsh_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANN = f"""{VECTORS}, {SIGNATURES},
 f AS (SELECT a.id AS query_id, b.id, min(b.tbl) AS tbl FROM s a JOIN q ON q.query_id = a.id JOIN s b ON a.tbl = b.tbl AND a.sig = b.sig {{0}} GROUP BY a.id, b.id),
 c AS (SELECT query_id, id FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tbl, id) <= 25),
-r AS (SELECT c.query_id, c.id, round(list_cosine_similarity(v.vec, q.query), 6) AS score FROM c JOIN v ON v.id = c.id JOIN q ON q.query_id = c.query_id),
+r AS (SELECT c.query_id, c.id, list_cosine_similarity(v.vec, q.query) AS score FROM c JOIN v ON v.id = c.id JOIN q ON q.query_id = c.query_id),
 ann AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r QUALIFY rank <= 5)"""
 
 
-@query(f"WITH {_ANN.format('')} SELECT query_id, id, score, rank FROM ann")
+@query(f"WITH {_ANN.format('')} SELECT query_id, id, round(score, 6) AS score, rank FROM ann")
 def vec_lsh_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _vectors(spark, sf_dir)
-    return V.ann_topk(rows.select("id", "vec"), asked, PLANES, 5)
+    return _rounded(V.ann_topk(rows.select("id", "vec"), asked, PLANES, 5, index=_index(rows)))
 
 
-@query(f"WITH {_ANN.format('JOIN v x ON x.id = b.id AND x.label < 5')} SELECT query_id, id, score, rank FROM ann")
+@query(f"WITH {_ANN.format('JOIN v x ON x.id = b.id AND x.label < 5')} SELECT query_id, id, round(score, 6) AS score, rank FROM ann")
 def vec_lsh_topk_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _vectors(spark, sf_dir)
-    return V.ann_topk(rows.select("id", "vec"), asked, PLANES, 5, allowed=rows.filter("label < 5"))
+    return _rounded(V.ann_topk(rows.select("id", "vec"), asked, PLANES, 5, allowed=rows.filter("label < 5"), index=_index(rows)))
 
 
-@query(f"WITH {_ANN.format('')}, e AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(vec, query), 6) DESC, id) AS rank FROM v, q QUALIFY rank <= 5) SELECT e.query_id, count(ann.id) / 5.0::DOUBLE AS overlap FROM e LEFT JOIN ann ON ann.query_id = e.query_id AND ann.id = e.id GROUP BY e.query_id")
+@query(f"WITH {_ANN.format('')}, e AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(vec, query) DESC, id) AS rank FROM v, q QUALIFY rank <= 5) SELECT e.query_id, count(ann.id) / 5.0::DOUBLE AS overlap FROM e LEFT JOIN ann ON ann.query_id = e.query_id AND ann.id = e.id GROUP BY e.query_id")
 def vec_ann_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, asked = _vectors(spark, sf_dir)
     return V.overlap(V.exact_topk(rows, asked, 5), V.ann_topk(rows.select("id", "vec"), asked, PLANES, 5), 5)
