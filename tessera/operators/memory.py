@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.prefix import SLICE_ROWS, sliced
+from tessera.operators.prefix import SLICE_ROWS, numbered, sliced
 
 DAY_MS = 86_400_000
 DECAY = math.log(2) / 30
@@ -113,8 +113,8 @@ def lifecycle(items: DataFrame, now_ms: int, min_age_hours: float = 24, group: i
     young = too_young(F.col("created_ms"), now_ms, min_age_hours)
     action = F.when(young | F.col("pinned"), "keep").when(F.col("value_score") < 0.25, "delete").when(F.col("value_score") < 0.45, "summarize").when(F.col("value_score") >= 0.70, "promote").otherwise("keep")
     acted = items.select("id", "tenant_id", "collection", action.alias("action"))
-    w = Window.partitionBy("tenant_id", "collection", "action").orderBy("id")
-    return acted.withColumn("compact_group", F.when(F.col("action") == "summarize", F.ceil(F.row_number().over(w) / group)).cast("long"))
+    told = numbered(acted.filter("action = 'summarize'"), ["tenant_id", "collection"], ["id"], "_i", "_n").withColumn("compact_group", F.ceil(F.col("_i") / group).cast("long"))
+    return acted.filter("action != 'summarize'").withColumn("compact_group", F.lit(None).cast("long")).unionByName(told.drop("_i", "_n"))
 
 
 def redundancy(vectors: DataFrame, tile_rows: int = 4096) -> DataFrame:

@@ -39,6 +39,9 @@ LANGUAGE_BY_EXTENSION = {
     "zsh": "shell",
 }
 
+# Extensions of text that a folder gives besides those of a language.
+TEXT_EXTENSIONS = ["txt", "md", "markdown", "csv", "log", "cfg", "bash"]
+
 
 def code_language(path: Column | str) -> Column:
     """By file name, else by extension, else null."""
@@ -77,7 +80,7 @@ def pdf_text(raw: bytes) -> str:
     return tidy("\n\n".join(page.extract_text() or "" for page in pypdf.PdfReader(io.BytesIO(raw)).pages))
 
 
-def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md", "docx", "pdf", *LANGUAGE_BY_EXTENSION)) -> DataFrame:
+def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = (*TEXT_EXTENSIONS, "docx", "pdf", *LANGUAGE_BY_EXTENSION)) -> DataFrame:
     """Path, text and error of the files of a folder tree; hidden and build folders and binaries are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     inside = F.replace(F.col("path"), F.lit(path.rstrip("/")), F.lit(""))
@@ -104,12 +107,17 @@ def read_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("
 ENVELOPE = "timestamp string, timestamp_ms bigint, request_id string, tenant_id string, config_id string, policy string, run_id string, event_type string"
 
 
-def read_telemetry(spark: SparkSession, path: str, fields: str = "") -> DataFrame:
-    """NDJSON events; blank and malformed lines and those without a valid time go; missing names are 'unknown'."""
-    rows = spark.read.schema(ENVELOPE + (", " + fields if fields else "")).option("mode", "DROPMALFORMED").json(path)
+def read_telemetry(spark: SparkSession, path: str, fields: str = "", ordered: bool = False) -> DataFrame:
+    """NDJSON events; blank and malformed lines and those without a valid time go; missing names are 'unknown'.
+
+    ordered: by time, and events of one time as they were written: by file name, block and line."""
+    read = spark.read.schema(ENVELOPE + (", " + fields if fields else "")).option("mode", "DROPMALFORMED").json(path)
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()}
+    rows = read.withColumns(place) if ordered else read
     at = F.coalesce("timestamp_ms", F.expr("unix_millis(try_to_timestamp(timestamp))"))
     named = {c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("unknown")) for c in ("tenant_id", "config_id", "policy", "run_id", "event_type")}
-    return rows.withColumn("ms", at).filter("ms IS NOT NULL").withColumns(named)
+    events = rows.withColumn("ms", at).filter("ms IS NOT NULL").withColumns(named)
+    return events.orderBy("ms", *place).drop(*place) if ordered else events
 
 
 def without_health_checks(lines: DataFrame) -> DataFrame:
