@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bits import bit_filter, bit_table, holds
 from tessera.storage import materialize, release
 
-BLOCK_TOKENS, SEGMENT_BYTES = 1 << 18, 1 << 22
+BLOCK_TOKENS, SEGMENT_BYTES = 1 << 16, 1 << 20
 #: A word, or one of the characters that end a piece.
 TOKEN = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]")
 PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
@@ -93,8 +93,10 @@ def inverted_blocks(docs: DataFrame, lang: str, text: str, seed: int) -> DataFra
                     blocks[name].add(found)
                     if blocks[name].size >= BLOCK_TOKENS and found and found[-1] in ENDS:
                         yield blocks.pop(name).lists(name, seed)
-        for name, block in blocks.items():
+        while blocks:
+            name, block = blocks.popitem()
             yield block.lists(name, seed)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return rows.mapInArrow(run, LIST_COLUMNS)
 
