@@ -112,20 +112,25 @@ def lexical_all(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return held.filter("held = wanted").withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k).select("case_id", "chunk_id", F.col("score").cast("double").alias("score"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, **fusion) -> DataFrame:
-    """(chunk_id, idx, text) and (case_id, query) -> the k best chunks of each query by both searches, fused.
+def searched(chunks: DataFrame, queries: DataFrame, k: int = 20, dim: int = 64) -> DataFrame:
+    """(chunk_id, idx, text) and (case_id, query) -> the k best chunks of each query by each search, with ranks, scores, text and query.
 
-    Hashed features of queries meet those of all chunks in blocks, words meet the inverted index; each list has 2 k rows."""
+    Hashed features of queries meet those of all chunks in blocks, words meet the inverted index."""
     from tessera.functions.text import dense_vectors, hashed_features
     from tessera.operators.vectors import exact_topk
     from tessera.storage import materialize
 
     vectors = dense_vectors(hashed_features(chunks, "chunk_id", "text", dim), "chunk_id", dim).select(F.col("chunk_id").alias("id"), "vec")
     asked = dense_vectors(hashed_features(queries, "case_id", "query", dim), "case_id", dim).select(F.col("case_id").alias("query_id"), F.col("vec").alias("query"))
-    near = exact_topk(materialize(vectors, "chunk_vectors"), materialize(asked, "query_vectors"), 2 * k, digits=6)  # sums of features in any order tie
+    near = exact_topk(materialize(vectors, "chunk_vectors"), materialize(asked, "query_vectors"), k, digits=6)  # sums of features in any order tie
     dense = near.select(F.col("query_id").alias("case_id"), F.col("id").alias("chunk_id"), "score")
-    lexical = lexical_all(materialize(inverted_index(chunks), "postings"), queries, 2 * k)
-    found = merged(dense, lexical).join(chunks, "chunk_id").join(queries, "case_id").withColumn("recency", F.lit(None).cast("double"))
+    lexical = lexical_all(materialize(inverted_index(chunks), "postings"), queries, k)
+    return merged(dense, lexical).join(chunks, "chunk_id").join(queries, "case_id")
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, **fusion) -> DataFrame:
+    """The k best chunks of each query by both searches, fused; each list has 2 k rows."""
+    found = searched(chunks, queries, 2 * k, dim).withColumn("recency", F.lit(None).cast("double"))
     return ordered(fuse(found, **fusion)).filter(F.col("place") <= k)
 
 
@@ -268,18 +273,24 @@ def without_near_prefixes(candidates: DataFrame, share: float = 0.6, least: int
     return candidates.groupBy("case_id").applyInPandas(keep, schema)
 
 
-def best_sentence(candidates: DataFrame, terms: list[str]) -> DataFrame:
+def best_sentence(candidates: DataFrame, terms: list[str] | Column) -> DataFrame:
     """The sentence of the first three chunks that holds most question terms; phrases of two count twice more."""
     from tessera.functions.text import sanitized, sentences
 
+    terms = terms if isinstance(terms, Column) else F.array(*map(F.lit, terms)).cast("array<string>")
+    rows = candidates.filter("place <= 3").select("case_id", "place", "chunk_id", terms.alias("_terms"), F.posexplode(sentences(sanitized("text"))).alias("n", "sentence"))
     low = F.lower("sentence")
-    score = sum((F.when(low.contains(t), 1).otherwise(0) for t in terms), F.lit(0)) + sum((F.when(low.contains(f"{a} {b}"), 2).otherwise(0) for a, b in zip(terms, terms[1:], strict=False)), F.lit(0))
-    split = candidates.filter("place <= 3").select("case_id", "place", "chunk_id", F.posexplode(sentences(sanitized("text"))).alias("n", "sentence")).withColumn("hits", score).filter("hits > 0")
+    single = F.size(F.filter("_terms", lambda t: low.contains(t)))
+    pairs = F.zip_with(F.slice("_terms", 1, F.greatest(F.size("_terms") - 1, F.lit(0))), F.slice("_terms", 2, F.size("_terms")), lambda a, b: F.concat_ws(" ", a, b))
+    split = rows.withColumn("hits", single + 2 * F.size(F.filter(pairs, lambda t: low.contains(t)))).filter("hits > 0")
     return split.groupBy("case_id").agg(F.min_by(F.struct("sentence", "hits", "chunk_id"), F.struct(-F.col("hits"), "place", "n")).alias("b")).select("case_id", "b.sentence", F.col("b.hits").alias("hits"), "b.chunk_id")
 
 
 # Words of a question that carry nothing.
-STOP_WORDS = "a an and are as at be by do does for from how i in is it of on or the this to was what when where which who why with".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "do", "does", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or", "the", "this", "to",
+    "was", "what", "when", "where", "which", "who", "why", "with",
+]
 
 
 def question_terms(question: str) -> list[str]:
@@ -289,24 +300,28 @@ def question_terms(question: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.findall("[a-z0-9]+", question.lower()) if len(w) > 1 and w not in STOP_WORDS))
 
 
-def answers(candidates: DataFrame, question: str) -> DataFrame:
+def terms_of(question: Column | str) -> Column:
+    """As question_terms, of a column."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(question, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.array_distinct(F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS)))
+
+
+def answers(candidates: DataFrame, question: str | Column) -> DataFrame:
     """case_id, answer and citations: the best sentence, or that the sources don't say.
 
-    Citations are the best sentence's chunk, then those of the first three. A question without terms gets the first
-    sentences of the first two chunks that have any."""
+    question: one for all cases, or a column of the candidates with each case's own. Citations are the best sentence's chunk,
+    then those of the first three. A question without terms gets the first sentences of the first two chunks that have any."""
     from tessera.functions.text import UNKNOWN, sanitized, sentences
 
-    top = candidates.filter("place <= 3").groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x.chunk_id).alias("chunks"))
-    cases = candidates.select("case_id").distinct().join(top, "case_id", "left")
-    terms = question_terms(question)
-    if terms:
-        best = best_sentence(candidates, terms).select("case_id", "sentence", "chunk_id")
-    else:
-        opening = candidates.filter("place <= 3").select("case_id", "place", F.get(sentences(sanitized("text")), F.lit(0)).alias("s")).filter("s IS NOT NULL")
-        opened = opening.groupBy("case_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "s"))), 1, 2).alias("parts"))
-        best = opened.select("case_id", F.array_join(F.transform("parts", lambda x: x.s), " ").alias("sentence"), F.lit(None).cast("string").alias("chunk_id"))
+    asked = candidates.withColumn("_asked", terms_of(F.lit(question) if isinstance(question, str) else question))
+    top = asked.filter("place <= 3").groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "chunk_id"))), lambda x: x.chunk_id).alias("chunks"))
+    cases = asked.groupBy("case_id").agg((F.max(F.size("_asked")) == 0).alias("_bare")).join(top, "case_id", "left")
+    best = best_sentence(asked, F.col("_asked")).select("case_id", "sentence", "chunk_id")
+    opening = asked.filter("place <= 3 AND size(_asked) = 0").select("case_id", "place", F.get(sentences(sanitized("text")), F.lit(0)).alias("s")).filter("s IS NOT NULL")
+    opened = opening.groupBy("case_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("place", "s"))), 1, 2).alias("parts"))
+    first = opened.select("case_id", F.array_join(F.transform("parts", lambda x: x.s), " ").alias("sentence"), F.lit(None).cast(asked.schema["chunk_id"].dataType).alias("chunk_id"))
     cited = F.array_distinct(F.array_compact(F.concat(F.array("chunk_id"), F.coalesce("chunks", F.array().cast("array<string>")))))
-    return cases.join(best, "case_id", "left").select("case_id", F.coalesce("sentence", F.lit(UNKNOWN)).alias("answer"), cited.alias("citations"))
+    return cases.join(best.unionByName(first), "case_id", "left").select("case_id", F.coalesce("sentence", F.lit(UNKNOWN)).alias("answer"), cited.alias("citations"))
 
 
 INSTRUCTIONS = {
@@ -323,14 +338,15 @@ def prompt_head(template: str, citation: str) -> str:
     return "\n".join([INSTRUCTIONS[template], UNTRUSTED, CITED["inline" if template == "boolean" else citation]])
 
 
-def prompts(candidates: DataFrame, question: str, template: str = "answer", citation: str = "inline") -> DataFrame:
+def prompts(candidates: DataFrame, question: str | Column, template: str = "answer", citation: str = "inline") -> DataFrame:
     """The prompt of each case by one of three templates, sources in order, and its estimated tokens.
 
     The code template tells a source's path and language if the table has these columns. A case is a short list by construction."""
     said = [F.concat(F.lit(f"{c}: "), F.col(c), F.lit("\n")) for c in ("path", "language") if template == "code" and c in candidates.columns]
     line = F.concat(F.lit("["), F.col("chunk_id"), F.lit("] "), *[F.coalesce(x, F.lit("")) for x in said], F.coalesce("text", F.lit("")))
-    body = candidates.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"))
-    prompt = F.concat(F.lit(prompt_head(template, citation) + "\n\n"), F.array_join(F.transform("lines", lambda x: x.line), "\n"), F.lit(f"\n\nQuestion: {question}"))
+    asked = F.lit(question) if isinstance(question, str) else question
+    body = candidates.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"), F.max(asked).alias("_question"))
+    prompt = F.concat(F.lit(prompt_head(template, citation) + "\n\n"), F.array_join(F.transform("lines", lambda x: x.line), "\n"), F.lit("\n\nQuestion: "), "_question")
     return body.select("case_id", prompt.alias("prompt")).withColumn("tokens", F.ceil(F.length("prompt") / 4))
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import chunk_documents
 from tessera.operators import retrieval as R
 from tessera.operators.memory import recency
+from tessera.operators.search import matching, parsed_queries
 from tessera.plans.base import query
 from tessera.sources.tables import ITEMS_SQL, NOW_MS, items, load
-
-QUESTION = "latest the thing status"
+from tessera.storage import materialize
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,21 +36,34 @@ def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.inverted_index(_chunks(spark, sf_dir)).groupBy("token").agg(F.count("*").alias("chunks"), F.sum(F.size("positions")).alias("positions"))
 
 
-CANDIDATES = f"""{ITEMS_SQL}, dn AS (SELECT 'c' || id % 7 AS case_id, 'd' || id AS chunk_id, CAST((id * 7919) % 1000 AS DOUBLE) / 1000 AS score FROM items WHERE id % 3 <> 0),
-lx AS (SELECT 'c' || id % 7 AS case_id, 'd' || id AS chunk_id, CAST((id * 104729) % 500 AS DOUBLE) / 100 AS score FROM items WHERE id % 2 = 0),
-a AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM dn), b AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM lx),
-m AS (SELECT coalesce(a.case_id, b.case_id) AS case_id, coalesce(a.chunk_id, b.chunk_id) AS chunk_id, a.score AS vector_score, a.r AS vector_rank, b.score AS lexical_score, b.r AS lexical_rank FROM a FULL JOIN b ON a.case_id = b.case_id AND a.chunk_id = b.chunk_id),
-c AS (SELECT m.*, id AS idx, text, exp(-greatest(0, {NOW_MS} - created_ms) / 86400000.0::DOUBLE / 14) AS recency FROM m JOIN items ON 'd' || id = chunk_id),
-o AS (SELECT *, len(list_filter(['latest', 'the', 'thing', 'status'], lambda t: list_contains(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), t))) / 4.0::DOUBLE AS overlap, CASE WHEN contains(lower(text), '{QUESTION}') THEN 1.0::DOUBLE ELSE 0 END AS exact FROM c)"""
+_DOC_WORDS = r"regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)"
+_BYTE = "CAST('0x' || substr(d, {0} * 2 + 1, 2) AS INTEGER)"
+_SEARCH = rf"""x AS (SELECT 'd' || doc_id || '#0' AS id, doc_id AS idx, text FROM documents), q AS (SELECT 'b' || item_id AS id, text FROM benchmark), both_ AS (SELECT id, text FROM x UNION ALL SELECT id, text FROM q),
+tk AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9._:@-]+'), lambda t: t <> '')) AS token FROM both_) GROUP BY ALL),
+dg AS (SELECT token, sha256(token) AS d, unnest([0, 4, 8, 12, 16, 20, 24, 28]) AS i FROM (SELECT DISTINCT token FROM tk)),
+pt AS (SELECT token, ({_BYTE.format("i")} * 256 + {_BYTE.format("(i + 1)")}) % 64 AS k, CASE WHEN {_BYTE.format("(i + 2)")} % 2 = 1 THEN 1 ELSE -1 END * (0.25::DOUBLE + {_BYTE.format("(i + 3)")} / 255.0::DOUBLE * 0.75::DOUBLE) AS x FROM dg),
+ft AS (SELECT id, k, sum(x * n) AS x FROM tk JOIN pt USING (token) GROUP BY id, k), nf AS (SELECT id, k, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ft),
+dn AS (SELECT a.id AS case_id, b.id AS chunk_id, round(sum(a.x * b.x), 6) AS score FROM nf a JOIN nf b ON a.k = b.k WHERE a.id IN (SELECT id FROM q) AND b.id IN (SELECT id FROM x) GROUP BY ALL),
+dr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM dn QUALIFY r <= 20),
+dw AS (SELECT id, {_DOC_WORDS} AS w FROM x), qw AS (SELECT id, list_distinct({_DOC_WORDS}) AS w FROM q),
+lx AS (SELECT qw.id AS case_id, dw.id AS chunk_id, CAST(len(list_filter(dw.w, lambda t: list_contains(qw.w, t))) AS DOUBLE) AS score FROM qw JOIN dw ON list_has_all(dw.w, qw.w) WHERE len(qw.w) > 0),
+lr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM lx QUALIFY r <= 20)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "benchmark").select(F.expr("'b' || item_id").alias("case_id"), F.col("text").alias("query"))
+
+
+CANDIDATES = rf"""{ITEMS_SQL}, {_SEARCH},
+m AS (SELECT coalesce(dr.case_id, lr.case_id) AS case_id, coalesce(dr.chunk_id, lr.chunk_id) AS chunk_id, dr.score AS vector_score, dr.r AS vector_rank, lr.score AS lexical_score, lr.r AS lexical_rank FROM dr FULL JOIN lr ON dr.case_id = lr.case_id AND dr.chunk_id = lr.chunk_id),
+c AS (SELECT m.*, x.idx, x.text, q.text AS query, i.tenant_id AS source, exp(-greatest(0, {NOW_MS} - i.created_ms) / 86400000.0::DOUBLE / 14) AS recency, regexp_extract_all(lower(q.text), '([a-z0-9_]+)', 1) AS qt, regexp_extract_all(lower(x.text), '([a-z0-9_]+)', 1) AS xt FROM m JOIN x ON x.id = m.chunk_id JOIN q ON q.id = m.case_id JOIN items i ON i.id = x.idx),
+o AS (SELECT *, CASE WHEN len(qt) > 0 THEN len(list_filter(qt, lambda t: list_contains(xt, t))) / len(qt)::DOUBLE ELSE 0 END AS overlap, CASE WHEN length(trim(query)) >= 8 AND contains(lower(text), lower(trim(query))) THEN 1.0::DOUBLE ELSE 0 END AS exact FROM c)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = items(spark, sf_dir)
-    case, chunk = F.expr("'c' || id % 7").alias("case_id"), F.expr("'d' || id").alias("chunk_id")
-    dense = own.filter("id % 3 != 0").select(case, chunk, F.expr("CAST((id * 7919) % 1000 AS DOUBLE) / 1000").alias("score"))
-    lexical = own.filter("id % 2 = 0").select(case, chunk, F.expr("CAST((id * 104729) % 500 AS DOUBLE) / 100").alias("score"))
-    texts = own.select(chunk, F.col("id").alias("idx"), "text", recency(F.col("created_ms"), NOW_MS, 14).alias("recency"))
-    return R.merged(dense, lexical).join(texts, "chunk_id").withColumn("query", F.lit(QUESTION))
+    """The 20 best documents of every benchmark item by vectors, and by words."""
+    own = items(spark, sf_dir).select(F.col("id").alias("idx"), F.col("tenant_id").alias("source"), recency(F.col("created_ms"), NOW_MS, 14).alias("recency"))
+    return R.searched(_chunks(spark, sf_dir), _asked(spark, sf_dir), 20).join(own, "idx")
 
 
 _RRF = "coalesce(0.72::DOUBLE / (60 + vector_rank), 0) + coalesce(0.28::DOUBLE / (60 + lexical_rank), 0)"
@@ -86,21 +99,33 @@ def composite_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3)).select("case_id", "chunk_id", F.col("place").cast("long").alias("place"))
 
 
-_EVALUATED = f"WITH {_FINAL}, r AS (SELECT DISTINCT 'c' || id % 7 AS case_id, 'd' || id AS chunk_id FROM items WHERE id % 10 = 1), h AS (SELECT p.*, r.chunk_id IS NOT NULL AS hit FROM p LEFT JOIN r ON r.case_id = p.case_id AND r.chunk_id = p.chunk_id), g AS (SELECT case_id, count(*) FILTER (WHERE hit AND place <= 10) AS found, min(place) FILTER (WHERE hit) AS first, sum(CASE WHEN hit AND place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) AS gain FROM h GROUP BY case_id), n AS (SELECT case_id, count(*) AS wanted FROM r GROUP BY case_id) SELECT n.case_id, round(coalesce(found, 0) / wanted, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN g ON g.case_id = n.case_id"
+#: Relevant is a document that holds an item's first eight words in a row, evidence one that holds all of its words.
+_HOLDS = "SELECT q.id AS case_id, x.id AS chunk_id FROM (SELECT id, ' ' || array_to_string(w[1:{0}], ' ') || ' ' AS w FROM (SELECT id, {1} AS w FROM q) WHERE len(w) > 0) q JOIN (SELECT id, ' ' || array_to_string({1}, ' ') || ' ' AS w FROM x) x ON contains(x.w, q.w)"
+_EVALUATED = f"WITH {_FINAL}, r AS ({_HOLDS.format(8, _DOC_WORDS)}), h AS (SELECT p.*, r.chunk_id IS NOT NULL AS hit FROM p LEFT JOIN r ON r.case_id = p.case_id AND r.chunk_id = p.chunk_id), g AS (SELECT case_id, count(*) FILTER (WHERE hit AND place <= 10) AS found, min(place) FILTER (WHERE hit) AS first, sum(CASE WHEN hit AND place <= 10 THEN 1 / log2(place + 1) ELSE 0 END) AS gain FROM h GROUP BY case_id), n AS (SELECT case_id, count(*) AS wanted FROM r GROUP BY case_id) SELECT n.case_id, round(coalesce(found, 0) / wanted, 6) AS recall, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(coalesce(gain, 0) / list_sum(list_transform(range(1, least(wanted, 10) + 1), lambda i: 1 / log2(i + 1))), 6) AS ndcg FROM n LEFT JOIN g ON g.case_id = n.case_id"
+
+
+def _holding(spark: SparkSession, sf_dir: str, words: int | None) -> DataFrame:
+    """(case_id, chunk_id) of the documents with an item's first words, or all of them, in a row."""
+    cut = R.words("query") if words is None else F.slice(R.words("query"), 1, words)
+    phrases = _asked(spark, sf_dir).select("case_id", F.concat(F.lit('"'), F.array_join(cut, " "), F.lit('"')).alias("query"))
+    index = materialize(R.inverted_index(_chunks(spark, sf_dir)), "postings")
+    return matching(index, _chunks(spark, sf_dir), parsed_queries(phrases))
+
+
+def _scores(spark: SparkSession, sf_dir: str, places: DataFrame) -> DataFrame:
+    return R.evaluate(places, _holding(spark, sf_dir, 8), 10).select("case_id", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")])
 
 
 @query(_EVALUATED)
 def eval_recall_mrr_ndcg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3))
-    relevant = items(spark, sf_dir).filter("id % 10 = 1").select(F.expr("'c' || id % 7").alias("case_id"), F.expr("'d' || id").alias("chunk_id")).distinct()
-    return R.evaluate(places, relevant, 10).select("case_id", *[F.round(c, 6).alias(c) for c in ("recall", "rr", "ndcg")])
+    """Whether the fused lists find the documents that quote an item."""
+    return _scores(spark, sf_dir, R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3)))
 
 
-@query(f"WITH scores AS ({_EVALUATED}), e AS (WITH {_FINAL} SELECT p.case_id, max(CASE WHEN place <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS evidence FROM p WHERE idx % 50 = 1 GROUP BY p.case_id) SELECT count(*) AS cases, round(avg(recall), 5) AS recall, round(avg(rr), 5) AS rr, round(avg(ndcg), 5) AS ndcg, round(avg(evidence), 5) AS evidence FROM scores LEFT JOIN e ON e.case_id = scores.case_id")
+@query(f"WITH scores AS ({_EVALUATED}), e AS (WITH {_FINAL}, r AS ({_HOLDS.format(100000, _DOC_WORDS)}) SELECT r.case_id, max(CASE WHEN place <= 10 THEN 1.0::DOUBLE ELSE 0 END) AS evidence FROM r LEFT JOIN p ON p.case_id = r.case_id AND p.chunk_id = r.chunk_id GROUP BY r.case_id) SELECT count(*) AS cases, round(avg(recall), 5) AS recall, round(avg(rr), 5) AS rr, round(avg(ndcg), 5) AS ndcg, round(avg(evidence), 5) AS evidence FROM scores LEFT JOIN e ON e.case_id = scores.case_id")
 def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3))
-    scores = eval_recall_mrr_ndcg(spark, sf_dir)
-    means = R.mean_quality(scores, R.evidence_hits(places, places.filter("idx % 50 = 1"), 10))
+    places = materialize(R.ordered(R.fuse(_candidates(spark, sf_dir), recency=0.3)), "places")
+    means = R.mean_quality(_scores(spark, sf_dir, places), R.evidence_hits(places, _holding(spark, sf_dir, None), 10))
     return means.select("cases", *[F.round(c, 5).alias(c) for c in ("recall", "rr", "ndcg", "evidence")])
 
 
@@ -119,7 +144,7 @@ def query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = R.ordered(R.fuse(_candidates(spark, sf_dir)))
-    return placed.select("case_id", "chunk_id", "place", F.expr("'s' || idx % 9").alias("source"), "text").filter("place <= 100")
+    return placed.select("case_id", "chunk_id", "place", "source", "text", "query")
 
 
 @query()
@@ -134,7 +159,7 @@ def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sentence_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.answers(_picks(spark, sf_dir), QUESTION)
+    return R.answers(_picks(spark, sf_dir), F.col("query"))
 
 
 _PLACED = f"{CANDIDATES}, f AS (SELECT *, {_RRF} + {_BOOST} AS fused FROM o), p AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY fused DESC, recency DESC, vector_rank ASC NULLS LAST, vector_score DESC NULLS LAST, lexical_rank ASC NULLS LAST, lexical_score DESC NULLS LAST, idx, chunk_id) AS place FROM f)"
@@ -142,7 +167,7 @@ _PLACED = f"{CANDIDATES}, f AS (SELECT *, {_RRF} + {_BOOST} AS fused FROM o), p
 
 def _prompt_sql(template: str, citation: str) -> str:
     head = R.prompt_head(template, citation).replace("'", "''")
-    return f"SELECT case_id, '{template}' AS template, '{head}' || chr(10) || chr(10) || string_agg('[' || chunk_id || '] ' || text, chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: {QUESTION}' AS prompt FROM p WHERE place <= 8 GROUP BY case_id"
+    return f"SELECT case_id, '{template}' AS template, '{head}' || chr(10) || chr(10) || string_agg('[' || chunk_id || '] ' || text, chr(10) ORDER BY place) || chr(10) || chr(10) || 'Question: ' || any_value(query) AS prompt FROM p WHERE place <= 8 GROUP BY case_id"
 
 
 _PROMPTS = [("answer", "metadata"), ("boolean", "metadata"), ("code", "inline")]
@@ -150,9 +175,9 @@ _PROMPTS = [("answer", "metadata"), ("boolean", "metadata"), ("code", "inline")]
 
 @query(f"WITH {_PLACED}, written AS ({' UNION ALL '.join(_prompt_sql(*x) for x in _PROMPTS)}) SELECT *, CAST(ceil(length(prompt) / 4) AS BIGINT) AS tokens FROM written")
 def prompt_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    picks, out = _picks(spark, sf_dir).filter("place <= 8"), None
+    picks, out = materialize(_picks(spark, sf_dir).filter("place <= 8"), "picks"), None
     for template, citation in _PROMPTS:
-        own = R.prompts(picks, QUESTION, template, citation).withColumn("template", F.lit(template))
+        own = R.prompts(picks, F.col("query"), template, citation).withColumn("template", F.lit(template))
         out = own if out is None else out.unionByName(own)
     return out
 
@@ -162,29 +187,11 @@ def code_file_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.code_picks(_picks(spark, sf_dir), "debug").select("case_id", "chunk_id", "place", "source")
 
 
-_DOC_WORDS = r"regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)"
-_BYTE = "CAST('0x' || substr(d, {0} * 2 + 1, 2) AS INTEGER)"
-_SEARCH = rf"""x AS (SELECT 'd' || doc_id || '#0' AS id, doc_id AS idx, text FROM documents), q AS (SELECT 'b' || item_id AS id, text FROM benchmark), both_ AS (SELECT id, text FROM x UNION ALL SELECT id, text FROM q),
-tk AS (SELECT id, token, count(*) AS n FROM (SELECT id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9._:@-]+'), lambda t: t <> '')) AS token FROM both_) GROUP BY ALL),
-dg AS (SELECT token, sha256(token) AS d, unnest([0, 4, 8, 12, 16, 20, 24, 28]) AS i FROM (SELECT DISTINCT token FROM tk)),
-pt AS (SELECT token, ({_BYTE.format("i")} * 256 + {_BYTE.format("(i + 1)")}) % 64 AS k, CASE WHEN {_BYTE.format("(i + 2)")} % 2 = 1 THEN 1 ELSE -1 END * (0.25::DOUBLE + {_BYTE.format("(i + 3)")} / 255.0::DOUBLE * 0.75::DOUBLE) AS x FROM dg),
-ft AS (SELECT id, k, sum(x * n) AS x FROM tk JOIN pt USING (token) GROUP BY id, k), nf AS (SELECT id, k, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM ft),
-dn AS (SELECT a.id AS case_id, b.id AS chunk_id, round(sum(a.x * b.x), 6) AS score FROM nf a JOIN nf b ON a.k = b.k WHERE a.id IN (SELECT id FROM q) AND b.id IN (SELECT id FROM x) GROUP BY ALL),
-dr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM dn QUALIFY r <= 20),
-dw AS (SELECT id, {_DOC_WORDS} AS w FROM x), qw AS (SELECT id, list_distinct({_DOC_WORDS}) AS w FROM q),
-lx AS (SELECT qw.id AS case_id, dw.id AS chunk_id, CAST(len(list_filter(dw.w, lambda t: list_contains(qw.w, t))) AS DOUBLE) AS score FROM qw JOIN dw ON list_has_all(dw.w, qw.w) WHERE len(qw.w) > 0),
-lr AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, chunk_id) AS r FROM lx QUALIFY r <= 20)"""
-
-
 @query(f"WITH {_SEARCH} SELECT case_id, chunk_id, score FROM lr")
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.lexical_all(R.inverted_index(_chunks(spark, sf_dir)), _asked(spark, sf_dir), 20)
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "benchmark").select(F.expr("'b' || item_id").alias("case_id"), F.col("text").alias("query"))
-
-
 @query(rf"""WITH {_SEARCH}, m AS (SELECT coalesce(dr.case_id, lr.case_id) AS case_id, coalesce(dr.chunk_id, lr.chunk_id) AS chunk_id, dr.r AS vector_rank, lr.r AS lexical_rank, dr.score AS vector_score, lr.score AS lexical_score FROM dr FULL JOIN lr ON dr.case_id = lr.case_id AND dr.chunk_id = lr.chunk_id),
 o AS (SELECT m.*, x.idx, regexp_extract_all(lower(q.text), '([a-z0-9_]+)', 1) AS qt, regexp_extract_all(lower(x.text), '([a-z0-9_]+)', 1) AS xt, CASE WHEN length(trim(q.text)) >= 8 AND contains(lower(x.text), lower(trim(q.text))) THEN 1.0::DOUBLE ELSE 0 END AS exact FROM m JOIN x ON x.id = m.chunk_id JOIN q ON q.id = m.case_id),
 f AS (SELECT *, {_RRF} + 0.12::DOUBLE * CASE WHEN len(qt) > 0 THEN len(list_filter(qt, lambda t: list_contains(xt, t))) / len(qt) ELSE 0 END + 0.08::DOUBLE * exact AS fused FROM o)
