@@ -4,12 +4,16 @@
    anything is compared.
 2. Fingerprints are compared tile by tile with exclusive-or and bit counts, as in simhash; tiles whose bit counts differ by
    more than the radius are skipped. The radius follows from the similarity: of two sets at `least`, a bit differs with
-   probability p = arccos(2 least / (1 + least)) / pi, and DEVIATIONS standard deviations are added. At 0.8 that is 64 of 256
-   bits, where unrelated sets have 128 +- 8. The first 64 bits alone must be within a wider margin, which spares most
+   probability p = arccos(2 least / (1 + least)) / pi, and DEVIATIONS standard deviations are added. At 0.8 that is 65 of 256
+   bits, where unrelated sets have 128 +- 8. The first 64 bits alone must be within a wider margin (25), which spares most
    pairs the other three words. A pair of tiles reports a spanning forest, never all pairs; its components only say
    which sets to compare.
-3. All sets of such a component are compared whole, a pair of blocks in a task, and a spanning forest of the exact links
-   is reported. A failed link thus hides no other, and no link stands unchecked.
+3. That p holds for large sets. Sets of up to SMALL hashes are also proposed by a hash they share among the first of each,
+   which pairs of the similarity must do: no pair whose smaller set has up to `least` * SMALL hashes is missed.
+4. All sets of such a component are compared whole. First each meets the component's representative, its smallest set
+   by hash: one copy of that a block. Those that are not linked to it then meet all sets of the component, a block of
+   them and a block of all in a task; blocks have a bounded number of bytes. A spanning forest of the exact links is
+   reported. A failed link thus hides no other, and no link stands unchecked.
 
 Comparing all pairs of tiles is quadratic by its nature; a pair of fingerprints takes about a nanosecond.
 
@@ -36,6 +40,8 @@ from tessera.storage import materialize
 WORDS = ("w0", "w1", "w2", "w3")
 #: Bit counts are classed by so many; standard deviations of the radius, and of the first word's.
 CLASS_BITS, DEVIATIONS, FIRST_DEVIATIONS = 8, 4.4, 5.0
+#: Sets of so many hashes are also proposed by shared hashes; bytes of sets in a block, about, and what a set counts besides its hashes.
+SMALL, BLOCK_BYTES, SET_BYTES = 40, 16 << 20, 4096
 #: Odd multipliers that make a hash four: fixed values, any others would do.
 SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -150,60 +156,104 @@ def candidates(distinct: DataFrame, least: float, tile_rows: int = 1 << 15) -> D
     return pairs.groupBy("a", "b").applyInPandas(compare, "u long, v long").filter("u != v")
 
 
-def _sets(docs: DataFrame, key: str, text: str, ngram: int) -> DataFrame:
-    """key, text_key, node (a hash of the set), fingerprint words and their bit count of every row."""
+def prefix_length(n: int, least: float) -> int:
+    """Of sets in one order of their hashes, those of the similarity share one of so many first ones; 0 for an empty or a large set."""
+    return n - ceil(least * n - 1e-9) + 1 if 0 < n <= SMALL else 0
+
+
+def by_shared_hashes(distinct: DataFrame) -> DataFrame:
+    """(node, prefix) -> (u, v): of the sets with a hash in their prefix each is linked to the smallest one; a row per set and hash."""
+    held = distinct.select("node", F.explode("prefix").alias("hash"))
+    least = held.groupBy("hash").agg(F.min("node").alias("u"))
+    return held.join(least, "hash").filter("node != u").select("u", F.col("node").alias("v"))
+
+
+def _sets(docs: DataFrame, key: str, text: str, ngram: int, least: float = 0.8) -> DataFrame:
+    """key, text_key, node (a hash of the set), its size, prefix, fingerprint words and their bit count of every row."""
     rows = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            nodes, words = np.empty(len(b), np.int64), np.empty((len(b), 4), np.int64)
+            nodes, words, sizes, prefixes = np.empty(len(b), np.int64), np.empty((len(b), 4), np.int64), np.empty(len(b), np.int64), []
             for i, t in enumerate(b["text"]):
                 s = shingles(t, ngram)
+                sizes[i] = len(s)
+                prefixes.append(s[: prefix_length(len(s), least)])
                 nodes[i] = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
                 words[i] = wide_fingerprint(s)
-            out = pd.DataFrame({"key": b["key"], "text_key": b["text_key"], "node": nodes, "bits": np.bitwise_count(words.view(np.uint64)).sum(axis=1, dtype=np.int64)})
+            out = pd.DataFrame({"key": b["key"], "text_key": b["text_key"], "node": nodes, "size": sizes, "prefix": prefixes, "bits": np.bitwise_count(words.view(np.uint64)).sum(axis=1, dtype=np.int64)})
             yield out.assign(**{c: words[:, k] for k, c in enumerate(WORDS)})
 
-    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, text_key long, node long, bits long, " + ", ".join(f"{c} long" for c in WORDS))
+    return rows.mapInPandas(run, f"key {rows.schema['key'].dataType.simpleString()}, text_key long, node long, size long, prefix array<long>, bits long, " + ", ".join(f"{c} long" for c in WORDS))
 
 
-def links(docs: DataFrame, distinct: DataFrame, ngram: int, least: float, block_rows: int = 1 << 10) -> DataFrame:
+def _numbered_blocks(sets: DataFrame, name: str, block_bytes: int) -> DataFrame:
+    """sets (root, node, size) with their block of about that many bytes within the root, and the number of blocks."""
+    blocks = sets.groupBy("root").agg(F.ceil(F.sum(F.col("size") * 8 + SET_BYTES) / block_bytes).cast("int").alias(f"{name}s"))
+    return sets.join(blocks, "root").withColumn(name, F.pmod(F.xxhash64("node"), F.col(f"{name}s")).cast("int"))
+
+
+def links(docs: DataFrame, distinct: DataFrame, ngram: int, least: float, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, text_key, text) rows and distinct sets -> (u, v) links of the similarity, enough to connect every component."""
-    roots = components(candidates(distinct, least), "candidates")
+    proposed = candidates(distinct, least).unionByName(by_shared_hashes(distinct))
+    roots = components(proposed, "candidates")
     roots = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "members")
-    blocks = roots.groupBy("root").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    members = roots.join(blocks, "root").join(distinct.select("node", F.col("least.key").alias("_key"), F.col("least.text_key").alias("_text")), "node")
+    members = roots.join(distinct.select("node", "size", F.col("least.key").alias("_key"), F.col("least.text_key").alias("_text")), "node")
     members = materialize(members, "candidate_texts")
     docs = flagged(docs, "text_key", bit_filter(members, "_text"), "_may").filter("_may").drop("_may")  # the other texts stay where they are
-    texts = docs.join(members, docs.key.eqNullSafe(F.col("_key")) & (docs.text_key == F.col("_text"))).groupBy("root", "node", "blocks").agg(F.first("text").alias("text"))
+    texts = docs.join(members, docs.key.eqNullSafe(F.col("_key")) & (docs.text_key == F.col("_text"))).groupBy("root", "node", "size").agg(F.first("text").alias("text"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[["root", "node", "blocks"]].assign(hashes=[shingles(t, ngram).tobytes() for t in b["text"]])
-
-    held = materialize(texts.select("root", "node", "blocks", "text").mapInPandas(sets, "root long, node long, blocks int, hashes binary"), "sets")
-    held = held.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = held.select("root", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "hashes")
+            yield b[["root", "node", "size"]].assign(hashes=[shingles(t, ngram).tobytes() for t in b["text"]])
+
+    held = materialize(_numbered_blocks(texts.select("root", "node", "size", "text").mapInPandas(sets, "root long, node long, size long, hashes binary"), "block", block_bytes), "sets")
+    unpacked = lambda g: (g["node"].to_numpy(), [np.frombuffer(h, np.int64) for h in g["hashes"]])
+
+    # each block of a component with a copy of its representative
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    first = held.filter("node = root").select("root", every.alias("block"), "node", "hashes")
+    met = held.filter("node != root").select("root", "block", "node", "hashes").unionByName(first)
+
+    def with_first(group: pd.DataFrame) -> pd.DataFrame:
+        is_first = group["node"] == group["root"]
+        if is_first.all():
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        nodes, own = unpacked(group[~is_first])
+        (one,) = unpacked(group[is_first])[1]
+        both = np.array([len(np.intersect1d(one, x, assume_unique=True)) for x in own])
+        close = both >= least * (len(one) + np.array([len(x) for x in own]) - both) - 1e-9
+        return pd.DataFrame({"u": group["root"].iloc[0], "v": nodes[close]}, dtype=np.int64)
+
+    linked = materialize(met.groupBy("root", "block").applyInPandas(with_first, "u long, v long"), "linked")
+    # the others with all sets of their component
+    rest = held.filter("node != root").join(linked.select(F.col("v").alias("node")), "node", "left_anti")
+    rest = _numbered_blocks(rest.select("root", "node", "size"), "part", block_bytes)
+    shapes = rest.select("root", "parts").distinct()
+    left = rest.join(held.select("node", "hashes", "blocks"), "node").select("root", "part", every.alias("block"), F.lit(True).alias("left"), "node", "hashes")
+    right = held.join(shapes, "root").select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", F.lit(False).alias("left"), "node", "hashes")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sides = [(g["node"].to_numpy(), [np.frombuffer(h, np.int64) for h in g["hashes"]]) for _, g in group.sort_values(["block", "node"]).groupby("block")]
-        # a block without rows leaves the other to be compared with itself once more
-        i, j = alike(sides[0][1], sides[-1][1], len(sides) == 1, least)
-        return pd.DataFrame({"u": sides[0][0][i], "v": sides[-1][0][j]}, dtype=np.int64)
+        a, b = (unpacked(group[group["left"] == side].sort_values("node")) for side in (True, False))
+        if not len(a[0]) or not len(b[0]):
+            return pd.DataFrame({"u": [], "v": []}, dtype=np.int64)
+        i, j = alike(a[1], b[1], False, least)
+        return pd.DataFrame({"u": a[0][i], "v": b[0][j]}, dtype=np.int64)
 
-    return pairs.groupBy("root", "a", "b").applyInPandas(compare, "u long, v long")
+    others = left.unionByName(right).groupBy("root", "part", "block").applyInPandas(compare, "u long, v long")
+    return linked.unionByName(others.filter("u != v"))
 
 
 def copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = 5, least: float = 0.8) -> DataFrame:
     """key, text_key and of its component: component_key (smallest key) and first_text (that row's text_key)."""
-    rows = materialize(_sets(docs, key, text, ngram), "shingles")
+    rows = materialize(_sets(docs, key, text, ngram, least), "shingles")
     order = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_key")).alias("least")
-    distinct = materialize(rows.groupBy("node").agg(order, *[F.first(c).alias(c) for c in ("bits", *WORDS)]), "distinct")
+    distinct = materialize(rows.groupBy("node").agg(order, *[F.first(c).alias(c) for c in ("size", "prefix", "bits", *WORDS)]), "distinct")
     texts = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
     roots = components(links(texts, distinct, ngram, least), "copies").withColumnRenamed("node", "_node")
     rooted = distinct.join(roots, distinct.node == roots["_node"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", F.col("first.key").alias("component_key"), F.col("first.text_key").alias("first_text"))
-    return rows.join(named, "node").select("key", "text_key", "component_key", "first_text")
+    return rows.select("key", "text_key", "node").join(named, "node").select("key", "text_key", "component_key", "first_text")
 
 
 def without_copies(docs: DataFrame, ngram: int = 5, least: float = 0.8) -> DataFrame:

@@ -56,11 +56,43 @@ def test_blocks_and_tiles_lose_no_link(spark, planted):
     rows, _ = planted
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     order = "min(struct(key IS NULL AS none, key, text_key)) AS least"
-    distinct = copies._sets(docs, "doc_id", "text", 5).groupBy("node").agg(copies.F.expr(order), *[copies.F.first(c).alias(c) for c in ("bits", *copies.WORDS)]).cache()
+    distinct = copies._sets(docs, "doc_id", "text", 5).groupBy("node").agg(copies.F.expr(order), *[copies.F.first(c).alias(c) for c in ("size", "prefix", "bits", *copies.WORDS)]).cache()
     count = lambda d: copies.components(d).count()
     assert count(copies.candidates(distinct, 0.8)) == count(copies.candidates(distinct, 0.8, tile_rows=60))
     texts = docs.selectExpr("doc_id AS key", "xxhash64(text) AS text_key", "text")
-    assert count(copies.links(texts, distinct, 5, 0.8)) == count(copies.links(texts, distinct, 5, 0.8, block_rows=2))
+    assert count(copies.links(texts, distinct, 5, 0.8)) == count(copies.links(texts, distinct, 5, 0.8, block_bytes=20_000))
+
+
+def test_small_sets_of_exactly_the_similarity(spark):
+    """Texts of 8 words against 9 and 12 against 14: sets of 4 of 5 and 8 of 10 hashes, all of which are proposed."""
+    rng, rows = np.random.default_rng(11), []
+    for k in range(400):
+        words = [f"v{x}" for x in rng.integers(0, 10**9, 14)]
+        short, long = ((8, 9), (12, 14))[k % 2]
+        rows += [(2 * k, " ".join(words[:short])), (2 * k + 1, " ".join(words[:long]))]
+    got = {r.key: r.component_key for r in copies.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(800)}
+
+
+def test_chains_beyond_the_representative(spark):
+    """Each text is near the next one only: all but a few are unlike their component's representative."""
+    words = [f"c{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(60)] + [(100 + i, " ".join(words[200:260]) + f" tail{i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.key: r.component_key for r in copies.copy_groups(docs).collect()} == roots(rows)
+
+
+@pytest.mark.parametrize("n", range(1, 41))
+def test_prefixes_meet(n):
+    """Sets at the similarity share one of their first hashes, whatever they don't share."""
+    import math
+
+    for m in range(n, math.floor(n / 0.8) + 1):
+        both = math.ceil(0.8 * (n + m) / 1.8 - 1e-9)
+        if both > n or m > copies.SMALL:
+            continue
+        # worst case: what isn't shared comes first in both
+        assert copies.prefix_length(n, 0.8) > n - both and copies.prefix_length(m, 0.8) > m - both
 
 
 def test_stage_keeps_what_brute_force_keeps(spark, planted):
