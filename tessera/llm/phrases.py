@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bits import bit_filter, bit_table, holds
 from tessera.storage import materialize, release
 
-BLOCK_TOKENS, SEGMENT_BYTES = 1 << 16, 1 << 20
+BLOCK_TOKENS, SEGMENT_BYTES = 1 << 15, 1 << 20
 #: A word, or one of the characters that end a piece.
 TOKEN = re.compile(rb"[^ \t.,;:!?\n\x0b\x0c\r]+|[.,;:!?\n\x0b\x0c\r]")
 PIECE_END = re.compile(rb"[.,;:!?\n\x0b\x0c\r]")
@@ -102,9 +102,13 @@ def inverted_blocks(docs: DataFrame, lang: str, text: str, seed: int) -> DataFra
 
 
 def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(id, f, first, last): first and last word of an id in order, different only if two words share it."""
-    each = blocks.select("lang", F.explode(F.arrays_zip("words", "ids", "counts")).alias("x")).select(F.col("x.ids").alias("id"), F.col("x.counts").cast("long").alias("n"), F.struct("lang", F.col("x.words").alias("word")).alias("named"))
-    return each.groupBy("id").agg(F.sum("n").alias("f"), F.min("named").alias("first"), F.max("named").alias("last"))
+    """(id, lang, word, f); two rows have one id only if two words share it."""
+    each = blocks.select("lang", F.explode(F.arrays_zip("words", "ids", "counts")).alias("x")).select(F.col("x.ids").alias("id"), "lang", F.col("x.words").alias("word"), F.col("x.counts").cast("long").alias("n"))
+    return each.groupBy("id", "lang", "word").agg(F.sum("n").alias("f"))
+
+
+def shares_ids(words: DataFrame) -> bool:
+    return not words.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
 
 
 def _rotated(word: str, bits: int) -> Column:
@@ -171,12 +175,12 @@ def frequent_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", le
     for seed in count():
         blocks = materialize(inverted_blocks(docs, lang, text, seed), "inverted_lists")
         words = materialize(vocabulary(blocks), "vocabulary")
-        if words.filter("first != last").isEmpty():
+        if not shares_ids(words):
             break
         release(blocks)
         release(words)
-    totals = words.groupBy("first.lang").agg(F.sum("f").alias("n"))
-    known = words.filter(F.col("f") >= least).select(F.col("id"), "f", "first.lang", "first.word")
+    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    known = words.filter(F.col("f") >= least)
     found = known.select("lang", F.col("word").alias("phrase"), F.array("id").alias("ids"), "f")
     filters = [bit_table(bit_filter(known, "id"))]
     named = found
