@@ -41,7 +41,7 @@ WORDS = ("w0", "w1", "w2", "w3")
 #: Bit counts are classed by so many; standard deviations of the radius, and of the first word's.
 CLASS_BITS, DEVIATIONS, FIRST_DEVIATIONS = 8, 4.4, 5.0
 #: Sets of so many hashes are also proposed by shared hashes; bytes of sets in a block, about, and what a set counts besides its hashes.
-SMALL, BLOCK_BYTES, SET_BYTES = 40, 16 << 20, 4096
+SMALL, BLOCK_BYTES, SET_BYTES = 40, 4 << 20, 4096
 #: Odd multipliers that make a hash four: fixed values, any others would do.
 SPREAD = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
