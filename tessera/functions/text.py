@@ -16,7 +16,7 @@ INJECTION = [
     "tool (call|use)", "function (call|use)", "do not answer", "begin prompt", "^system:", "^assistant:", "^user:",
 ]
 # Words that make a sentence procedural.
-PROCEDURAL = "should must use ensure avoid step first then finally".split()
+PROCEDURAL = ["should", "must", "use", "ensure", "avoid", "step", "first", "then", "finally"]
 UNKNOWN = "I don't know based on the provided sources."
 # Lines at which code may be cut.
 CODE_BOUNDARIES = [

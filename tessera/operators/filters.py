@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Metadata keys that may hold an item's freshness, in order of precedence.
-FRESHNESS_KEYS = "updatedAt updated_at lastUpdatedAt last_updated_at modifiedAt modified_at publishedAt published_at effectiveAt effective_at sourceUpdatedAt source_updated_at syncedAt synced_at lastSyncedAt last_synced_at".split()
-DOCUMENT_TYPE_KEYS = "documentType document_type docType doc_type".split()
+FRESHNESS_KEYS = [
+    "updatedAt", "updated_at", "lastUpdatedAt", "last_updated_at", "modifiedAt", "modified_at", "publishedAt", "published_at", "effectiveAt", "effective_at",
+    "sourceUpdatedAt", "source_updated_at", "syncedAt", "synced_at", "lastSyncedAt", "last_synced_at",
+]
+# Metadata keys that may hold a document's type, in order of precedence.
+DOCUMENT_TYPE_KEYS = ["documentType", "document_type", "docType", "doc_type"]
 TIME_FIELDS = {"created_at": "created_ms", "createdAt": "created_ms", "created": "created_ms", "freshness": "freshness_ms", "updated_at": "freshness_ms", "updatedAt": "freshness_ms"}
 
 
