@@ -233,10 +233,10 @@ WITH pieces AS (
 ), spans AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 5) t(k)
 ), freq AS (SELECT lang, w[i:i + k - 1] AS words, k, count(*) AS f FROM spans GROUP BY ALL
 ), known AS (SELECT * FROM freq WHERE f >= 30
+), cut AS (SELECT lang, words, f AS a, c, words[:c] AS lw, words[c + 1:] AS rw FROM known, range(1, 4) t(c) WHERE k > c
 ), cuts AS (
-  SELECT c.lang, c.words, c.f AS a, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * c.f) // (l.f::HUGEINT + r.f) AS score
-  FROM known c, range(1, 4) t(cut), known l, known r
-  WHERE c.k > cut AND l.lang = c.lang AND l.words = c.words[:cut] AND r.lang = c.lang AND r.words = c.words[cut + 1:]
+  SELECT cut.lang, cut.words, cut.a, c AS cut, l.f AS l, r.f AS r, (2000000::HUGEINT * cut.a) // (l.f::HUGEINT + r.f) AS score
+  FROM cut JOIN known l ON l.lang = cut.lang AND l.words = cut.lw JOIN known r ON r.lang = cut.lang AND r.words = cut.rw
 ), scored AS (SELECT lang, words, a, l, r, score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) = 1
 ), inner_spans AS (SELECT lang, words, k, f, m, unnest(range(1, k - m + 2)) AS i FROM known, range(2, 4) t(m) WHERE m < k
 ), cover AS (SELECT lang, words[i:i + m - 1] AS words, max(f) AS longer FROM inner_spans GROUP BY ALL
