@@ -125,7 +125,7 @@ def sanitized(text: Column | str) -> Column:
 def sentences(text: Column | str) -> Column:
     """Sentences of a text, ends kept."""
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def title(prefix: str, sentence: Column, index: Column) -> Column:

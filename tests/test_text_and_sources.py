@@ -124,3 +124,7 @@ def test_wal_of_several_files_keeps_the_order_of_names(spark, tmp_path):
     (path / "1.txt").write_text("SET k first\n")
     (path / "2.txt").write_text("noise " * 2000 + "\nSET k second\nSET k third\n")
     assert [r.value for r in files.read_wal(spark, str(path)).orderBy("seq").collect()] == ["first", "second", "third"]
+
+
+def test_sentences_keep_digits_at_their_ends(spark):
+    assert one(spark, X.sentences("t"), "0 a. 1 b 1. 22") == ["0 a.", "1 b 1.", "22"]
