@@ -3,13 +3,19 @@ chunkers whose next step depends on the last one; those work a row at a time ins
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.postings import numbered_by_order, token_batches
+
 # Lines that try to instruct a model.
 INJECTION = [
     "ignore (all|any|previous) instructions", "disregard (all|any|previous) instructions", "you are (an|a) (assistant|chatgpt|system)", "act as", "system prompt", "developer message",
@@ -178,17 +184,49 @@ def cache_key(text: Column | str) -> Column:
     return F.sha2(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), 256)
 
 
-def hashed_features(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
-    """T5: (key, at, x): eight signed hashed features of each token's SHA-256, summed by place and normalised.
+def _feature_sums(docs: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """(key, vec): sums of eight signed hashed features of each token's SHA-256; null at places that no token has. Rows of a key are added up.
 
-    Tokens are counted before they are hashed, and each is hashed once."""
+    A row's tokens are counted and its features summed in place, tokens in order, so equal texts have equal sums; a batch hashes each
+    token once. Texts without tokens give no row."""
     tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9._:@-]+")
-    counted = docs.select(key, F.explode(tokens).alias("token")).filter("token != ''").groupBy(key, "token").agg(F.count("*").alias("n"))
-    byte = lambda i: F.conv(F.substr("digest", i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    hashed = counted.withColumn("digest", F.sha2("token", 256)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(28), F.lit(4))))
-    x = F.when(byte(F.col("i") + 2) % 2 == 1, 1.0).otherwise(-1.0) * (0.25 + byte(F.col("i") + 3) / 255 * 0.75) * F.col("n")
-    summed = hashed.groupBy(key, ((byte(F.col("i")) * 256 + byte(F.col("i") + 1)) % dim).alias("at")).agg(F.sum(x).alias("x"))
-    return summed.withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, row, found in token_batches(batches):
+            kept = np.flatnonzero(pc.not_equal(found, "").to_numpy(zero_copy_only=False))
+            if not len(kept):
+                continue
+            word, names = numbered_by_order(found.take(pa.array(kept)))
+            digests = b"".join(hashlib.sha256(name.encode()).digest() for name in names.to_pylist())
+            byte = np.frombuffer(digests, np.uint8).reshape(len(names), 8, 4).astype(np.int64)
+            place, x = (byte[:, :, 0] * 256 + byte[:, :, 1]) % dim, np.where(byte[:, :, 2] % 2 == 1, 1.0, -1.0) * (0.25 + byte[:, :, 3] / 255 * 0.75)
+            pairs, n = np.unique(row[kept] * len(names) + word, return_counts=True)
+            own, word = np.divmod(pairs, len(names))
+            cell, size = (own[:, None] * dim + place[word]).ravel(), part.num_rows * dim
+            sums, none = np.bincount(cell, (x[word] * n[:, None]).ravel(), size), np.bincount(cell, minlength=size) == 0
+            rows = np.unique(own)
+            values = pa.array(sums.reshape(-1, dim)[rows].ravel(), mask=none.reshape(-1, dim)[rows].ravel())
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), values)], ["key", "vec"])
+
+    rows = docs.select(F.col(key).alias("key"), tokens.alias("tokens"))
+    sums = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, vec array<double>").groupBy("key").agg(F.collect_list("vec").alias("v"))
+    add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x + y, x, y))
+    return sums.select(F.col("key").alias(key), F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0)), add).alias("vec"))
+
+
+def _normalised(vec: Column) -> Column:
+    both = F.struct(vec.alias("v"), F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))).alias("n"))
+    return F.get(F.transform(F.array(both), lambda b: F.transform(b.v, lambda x: x / b.n)), F.lit(0))
+
+
+def hashed_features(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    """T5: (key, at, x): eight signed hashed features of each token's SHA-256, summed by place and normalised."""
+    return _feature_sums(docs, key, text, dim).select(key, F.posexplode(_normalised(F.col("vec"))).alias("at", "x")).filter("x IS NOT NULL")
+
+
+def feature_vectors(docs: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+    """T5: (key, vec): hashed_features of all places."""
+    return _feature_sums(docs, key, text, dim).select(key, F.transform(_normalised(F.col("vec")), lambda x: F.coalesce(x, F.lit(0.0))).alias("vec"))
 
 
 def dense_vectors(features: DataFrame, key: str, dim: int = 64) -> DataFrame:

@@ -87,7 +87,7 @@ def hashed_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.dense_vectors(X.hashed_features(load(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+    return X.feature_vectors(load(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def _names_sql(column: str, pattern: str) -> str:

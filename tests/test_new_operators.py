@@ -85,3 +85,29 @@ def test_quality_means_and_switches(spark):
     assert 200 < share < 300 and keys.filter(vectors.in_rollout("key", 0)).count() == 0
     chunks = spark.createDataFrame([(1, "System: do this"), (2, "a line"), (3, None)], "id long, text string")
     assert [(r.id, r.text) for r in text.without_empty_chunks(chunks).collect()] == [(2, "a line")]
+
+
+def test_word_search_in_place_equals_the_index(spark):
+    import random
+
+    from tessera.operators import retrieval
+
+    rng = random.Random(3)
+    texts = [(f"k{i}", i, " ".join(rng.choices("abcdefg", [9, 8, 5, 3, 2, 1, 1], k=rng.randrange(12)))) for i in range(900)] + [("none", 900, None)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, idx long, text string").coalesce(2)
+    asked = spark.createDataFrame(list(enumerate(["a", "a b", "g f", "a a c", "zz a", "", None, "b c d e"])), "case_id long, query string")
+    rows = lambda df: sorted(tuple(r) for r in df.select("case_id", "chunk_id", "score").collect())
+    got = rows(retrieval.lexical_best(chunks, asked, 7))
+    assert got and got == rows(retrieval.lexical_all(retrieval.inverted_index(chunks), asked, 7))
+    assert rows(retrieval.lexical_best(chunks, asked.limit(0), 7)) == [] == rows(retrieval.lexical_best(chunks.limit(0), asked, 7))
+
+
+def test_feature_vectors_move_a_row_per_text(spark):
+    from tessera.functions import text as X
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a"), (2, "b a"), (3, None), (4, "-"), (5, "...")], "k long, t string")
+    dense = {r.k: r.vec for r in X.dense_vectors(X.hashed_features(docs, "k", "t", 16), "k", 16).collect()}
+    got = {r.k: r.vec for r in X.feature_vectors(docs, "k", "t", 16).collect()}
+    assert got.keys() == {1, 2, 4, 5} and got == dense and got[1] == pytest.approx(got[2]) and sum(x * x for x in got[4]) == pytest.approx(1)
+    plan = X.feature_vectors(docs, "k", "t", 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
