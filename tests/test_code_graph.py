@@ -67,3 +67,10 @@ def test_graph(files):
 def test_resolution_of_dots(spark):
     rows = spark.createDataFrame([("a/b", "./c", "a/b/c"), ("a/b", "../c", "a/c"), ("a", "../../c", "c"), ("", "./c/./d", "c/d"), ("a", "react", None), ("a/b", "..", "a")], "folder string, module string, want string")
     assert [r.got for r in rows.select(G.resolved(rows.module, rows.folder).alias("got")).collect()] == [r.want for r in rows.collect()]
+
+
+def test_each_edge_once_and_files_read_once(spark, files):
+    twice = G.code_graph(files.unionByName(files)).collect()  # a path that comes twice
+    assert twice and len(twice) == len(set(twice))
+    plan = G.code_graph(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "regexp_replace" not in plan
