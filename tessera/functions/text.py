@@ -8,13 +8,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.postings import numbered_by_order, token_batches
+from tessera.operators.postings import BATCH_CHUNKS, numbered_by_order, token_batches
 
 # Lines that try to instruct a model.
 INJECTION = [
@@ -107,17 +106,22 @@ def chunk_documents(docs: DataFrame, strategy: str = "token", key: str = "doc_id
     else:
         rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                parts = []
-                for k, t in zip(b["key"], b["text"], strict=True):
-                    clean = (t or "").strip()
-                    cut = pack_code(clean, max_tokens, overlap) if strategy == "code" and clean else []
-                    parts += [(k, i, c) for i, c in enumerate(cut or pack_characters(clean, max_chars))]
-                yield pd.DataFrame(parts, columns=["key", "idx", "text"])
+                for at in range(0, b.num_rows, BATCH_CHUNKS):  # a few texts at a time are objects of Python
+                    part = b.slice(at, BATCH_CHUNKS)
+                    row, idx, out = [], [], []
+                    for i, t in enumerate(part.column("text").to_pylist()):
+                        clean = (t or "").strip()
+                        cut = pack_code(clean, max_tokens, overlap) if strategy == "code" and clean else []
+                        cut = cut or pack_characters(clean, max_chars)
+                        row += [i] * len(cut)
+                        idx += range(len(cut))
+                        out += cut
+                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(row, pa.int64())), pa.array(idx, pa.int32()), pa.array(out, pa.string())], ["key", "idx", "text"])
 
         kind = rows.schema["key"].dataType.simpleString()
-        found = rows.mapInPandas(run, f"key {kind}, idx int, text string").withColumnRenamed("key", key)
+        found = rows.mapInArrow(run, f"key {kind}, idx int, text string").withColumnRenamed("key", key)
     return found.withColumn("chunk_id", F.concat_ws("#", F.col(key).cast("string"), "idx"))
 
 
