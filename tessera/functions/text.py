@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.postings import BATCH_CHUNKS, numbered_by_order, token_batches
+from tessera.operators.postings import BATCH_CHUNKS
 
 # Lines that try to instruct a model.
 INJECTION = [
@@ -188,38 +188,61 @@ def cache_key(text: Column | str) -> Column:
     return F.sha2(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), 256)
 
 
+#: Bytes of a feature token, and how many bytes of texts are cut at once.
+TOKEN_BYTES, CUT_BYTES = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789._:@-", np.uint8)), 4 << 20
+
+
+def _cut_tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """The text of each token and all tokens in order, of lower-cased UTF-8; bytes of other letters are never a token's."""
+    data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
+    inside = TOKEN_BYTES[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    return row, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+
+
 def _feature_sums(docs: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, vec): sums of eight signed hashed features of each token's SHA-256; null at places that no token has. Rows of a key are added up.
 
-    A row's tokens are counted and its features summed in place, tokens in order, so equal texts have equal sums; a batch hashes each
-    token once. Texts without tokens give no row."""
-    tokens = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9._:@-]+")
+    A row's features are summed in place as whole numbers (a feature is one of them by 1020), so equal texts have equal sums, in any
+    order of tokens; a batch hashes each token once. Texts without tokens give no row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, row, found in token_batches(batches):
-            kept = np.flatnonzero(pc.not_equal(found, "").to_numpy(zero_copy_only=False))
-            if not len(kept):
-                continue
-            word, names = numbered_by_order(found.take(pa.array(kept)))
-            digests = b"".join(hashlib.sha256(name.encode()).digest() for name in names.to_pylist())
-            byte = np.frombuffer(digests, np.uint8).reshape(len(names), 8, 4).astype(np.int64)
-            place, x = (byte[:, :, 0] * 256 + byte[:, :, 1]) % dim, np.where(byte[:, :, 2] % 2 == 1, 1.0, -1.0) * (0.25 + byte[:, :, 3] / 255 * 0.75)
-            pairs, n = np.unique(row[kept] * len(names) + word, return_counts=True)
-            own, word = np.divmod(pairs, len(names))
-            cell, size = (own[:, None] * dim + place[word]).ravel(), part.num_rows * dim
-            sums, none = np.bincount(cell, (x[word] * n[:, None]).ravel(), size), np.bincount(cell, minlength=size) == 0
-            rows = np.unique(own)
-            values = pa.array(sums.reshape(-1, dim)[rows].ravel(), mask=none.reshape(-1, dim)[rows].ravel())
-            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), values)], ["key", "vec"])
-
-    rows = docs.select(F.col(key).alias("key"), tokens.alias("tokens"))
+        for b in batches:
+            sizes = pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < b.num_rows:
+                here = np.cumsum(sizes[at:], dtype=np.int64)
+                part = b.slice(at, max(1, int(np.searchsorted(here, CUT_BYTES, "right"))))
+                at += part.num_rows
+                row, found = _cut_tokens([t.encode() for t in part.column("text").to_pylist()])
+                if not len(row):
+                    continue
+                told = found.dictionary_encode()
+                word, names = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
+                byte = np.frombuffer(b"".join([hashlib.sha256(name).digest() for name in names]), np.uint8).reshape(len(names), 8, 4).astype(np.int64).transpose(2, 1, 0)
+                place, x = (byte[0] * 256 + byte[1]) % dim, np.where(byte[2] % 2 == 1, 1.0, -1.0) * (255 + 3 * byte[3])
+                size = part.num_rows * dim
+                sums, held = np.zeros(size), np.zeros(size, np.int64)
+                for own, value in zip(place, x, strict=True):
+                    cell = row * dim + own[word]
+                    sums += np.bincount(cell, value[word], size)
+                    held += np.bincount(cell, minlength=size)
+                rows = np.unique(row)
+                values = pa.array((sums / 1020).reshape(-1, dim)[rows].ravel(), mask=(held == 0).reshape(-1, dim)[rows].ravel())
+                yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), values)], ["key", "vec"])
+
+    rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))
     sums = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, vec array<double>").groupBy("key").agg(F.collect_list("vec").alias("v"))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: F.coalesce(x + y, x, y))
     return sums.select(F.col("key").alias(key), F.aggregate(F.slice("v", 2, F.size("v")), F.get("v", F.lit(0)), add).alias("vec"))
 
 
 def _normalised(vec: Column) -> Column:
-    both = F.struct(vec.alias("v"), F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))).alias("n"))
+    length = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0))))
+    both = F.struct(vec.alias("v"), F.greatest(length, F.lit(1e-300)).alias("n"))  # features that cancel out stay zero
     return F.get(F.transform(F.array(both), lambda b: F.transform(b.v, lambda x: x / b.n)), F.lit(0))
 
 

@@ -111,3 +111,29 @@ def test_feature_vectors_move_a_row_per_text(spark):
     assert got.keys() == {1, 2, 4, 5} and got == dense and got[1] == pytest.approx(got[2]) and sum(x * x for x in got[4]) == pytest.approx(1)
     plan = X.feature_vectors(docs, "k", "t", 16)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode" not in plan
+
+
+def test_feature_sums_are_exact_and_no_word_leaves_its_task(spark):
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    from tessera.functions import text as X
+
+    texts = ["a b a", "ÉK9 x\0y\nz@w_v", "İ.:-", "word " * 900_000 + "end", None, "_ é", "b a a", "~"] + [f"t{i % 7} u{i} common" for i in range(600)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    want = {}
+    for k, t in enumerate(texts):
+        sums, seen = [0] * 16, Counter(w for w in re.split("[^a-z0-9._:@-]+", (t or "").lower()) if w)
+        for token, n in seen.items():
+            d = hashlib.sha256(token.encode()).digest()
+            for i in range(0, 32, 4):
+                sums[(d[i] << 8 | d[i + 1]) % 16] += n * (1 if d[i + 2] & 1 else -1) * (255 + 3 * d[i + 3])
+        if seen:
+            want[k] = [s / math.sqrt(sum(x * x for x in sums)) for s in sums]
+    vectors = X.feature_vectors(docs, "k", "t", 16)
+    got = {r.k: r.vec for r in vectors.collect()}
+    assert got.keys() == want.keys() and got[0] == got[6]
+    assert all(got[k] == pytest.approx(want[k], abs=1e-15) for k in want)
+    assert "split(" not in vectors._jdf.queryExecution().optimizedPlan().toString()
