@@ -60,32 +60,42 @@ class KeyedTable:
             self._write(self._bucketed(partial_update(old, changes, self.keys)), "overwrite")
 
 
+#: Rows of a folder of a sorted table, unless one part has more.
+FOLDER_ROWS = 100_000
+
+
 class SortedTable:
-    """Rows in order of a unique key, in numbered parts, with a fence (least and largest key, rows) of each."""
+    """Rows in order of a unique key, in parts, with a fence (least and largest key, rows, folder) of each.
+
+    Parts that follow each other share a folder, in key order, so what the driver lists doesn't grow as parts get smaller."""
 
     def __init__(self, spark: SparkSession, path: str, key: str = "id") -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
     def create(self, rows: DataFrame, part_rows: int = 100_000) -> None:
-        parts = max(1, -(-rows.count() // part_rows))
-        ranged = rows.repartitionByRange(parts, self.key).sortWithinPartitions(self.key).withColumn("_part", F.spark_partition_id())
-        ranged.write.partitionBy("_part").parquet(f"{self.path}/rows")
-        fences = self.spark.read.parquet(f"{self.path}/rows").groupBy("_part").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count("*").alias("n"))
+        folders = max(1, -(-rows.count() // max(part_rows, FOLDER_ROWS)))
+        ranged = rows.repartitionByRange(folders, self.key).sortWithinPartitions(self.key)
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # in its partition
+        parts = ranged.withColumn("_folder", F.spark_partition_id()).withColumn("_part", F.floor(place / part_rows).cast("int"))
+        parts.sortWithinPartitions("_folder", self.key).write.partitionBy("_folder").parquet(f"{self.path}/rows")
+        fences = self.spark.read.parquet(f"{self.path}/rows").groupBy("_folder", "_part").agg(F.min(self.key).alias("low"), F.max(self.key).alias("high"), F.count("*").alias("n"))
         fences.write.parquet(f"{self.path}/fences")
 
     def page(self, after: int | str | None, limit: int) -> DataFrame:
-        """The first `limit` rows with a larger key, in order. Only parts are read that can hold them: by the fences, of which a
-        page needs at most limit + 1 as none is empty."""
+        """The first `limit` rows with a larger key, in order. Only the stretch of parts is read that can hold them: by the fences, of
+        which a page needs at most limit + 1 as none is empty."""
         fences = self.spark.read.parquet(f"{self.path}/fences")
         ahead = (fences if after is None else fences.filter(F.col("high") > F.lit(after))).orderBy("low").limit(limit + 1).collect()
         wanted, sure = [], 0
         for i, f in enumerate(ahead):
             if sure >= limit:
                 break
-            wanted.append(f["_part"])
+            wanted.append(f)
             sure += f["n"] if i or after is None or f["low"] > after else 0
-        rows = self.spark.read.parquet(f"{self.path}/rows").filter(F.col("_part").isin(wanted) if wanted else F.lit(False)).drop("_part")
-        return (rows if after is None else rows.filter(F.col(self.key) > F.lit(after))).orderBy(self.key).limit(limit)
+        key = F.col(self.key)
+        held = F.col("_folder").isin(sorted({f["_folder"] for f in wanted})) & (key <= F.lit(wanted[-1]["high"])) if wanted else F.lit(False)
+        rows = self.spark.read.parquet(f"{self.path}/rows").filter(held).drop("_folder", "_part")
+        return (rows if after is None else rows.filter(key > F.lit(after))).orderBy(key).limit(limit)
 
 
 class RollupStore:

@@ -53,6 +53,23 @@ def test_pages(spark, tmp_path, after):
     assert sum(files) <= 4  # of ten
 
 
+@pytest.mark.parametrize("folder_rows", [100_000, 70])
+def test_folders_of_a_sorted_table_do_not_grow_with_its_parts(spark, tmp_path, monkeypatch, folder_rows):
+    monkeypatch.setattr("tessera.sources.stored.FOLDER_ROWS", folder_rows)
+    ids = [i * 3 for i in range(400)]
+    random.Random(1).shuffle(ids)
+    table = SortedTable(spark, f"{tmp_path}/s")
+    table.create(spark.createDataFrame([(i, f"t{i}") for i in ids], "id long, t string"), 4)
+    folders = [p for p in (tmp_path / "s/rows").iterdir() if p.is_dir()]
+    assert len(folders) <= -(-400 // folder_rows)
+    fences = spark.read.parquet(f"{table.path}/fences").orderBy("low").collect()
+    assert len(fences) >= 100 and max(f.n for f in fences) == 4 and sum(f.n for f in fences) == 400
+    assert all(a.high < b.low for a, b in zip(fences, fences[1:], strict=False))
+    for after, limit in [(None, 9), (None, 1000), (0, 1), (200, 150), (1190, 20), (1197, 5)]:
+        got = [(r.id, r.t) for r in table.page(after, limit).collect()]
+        assert got == [(i, f"t{i}") for i in sorted(ids) if after is None or i > after][:limit]
+
+
 def test_batches_count_once_in_any_split(spark, tmp_path):
     rows = [("t%d" % (i % 3), f"2024-01-0{1 + i % 2} {i % 24:02}:10:00", i) for i in range(120)]
     events = spark.createDataFrame(rows, "tenant_id string, ts string, tokens long").withColumn("ts", F.to_timestamp("ts"))
