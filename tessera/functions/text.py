@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -203,6 +204,12 @@ def _cut_tokens(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return row, pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
 
 
+def _digests(names: pa.Array) -> bytes:
+    """The SHA-256 of each name, one after the other."""
+    data, offsets = names.buffers()[2].to_pybytes(), np.frombuffer(names.buffers()[1], np.int64)[names.offset : names.offset + len(names) + 1].tolist()
+    return b"".join([hashlib.sha256(data[a:b]).digest() for a, b in pairwise(offsets)])
+
+
 def _feature_sums(docs: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """(key, vec): sums of eight signed hashed features of each token's SHA-256; null at places that no token has. Rows of a key are added up.
 
@@ -221,17 +228,20 @@ def _feature_sums(docs: DataFrame, key: str, text: str, dim: int) -> DataFrame:
                 if not len(row):
                     continue
                 told = found.dictionary_encode()
-                word, names = told.indices.to_numpy(zero_copy_only=False), told.dictionary.to_pylist()
-                byte = np.frombuffer(b"".join([hashlib.sha256(name).digest() for name in names]), np.uint8).reshape(len(names), 8, 4).astype(np.int64).transpose(2, 1, 0)
+                word, digests = told.indices.to_numpy(zero_copy_only=False), _digests(told.dictionary)
+                byte = np.frombuffer(digests, np.uint8).reshape(-1, 8, 4).astype(np.int64).transpose(2, 1, 0)
                 place, x = (byte[0] * 256 + byte[1]) % dim, np.where(byte[2] % 2 == 1, 1.0, -1.0) * (255 + 3 * byte[3])
                 size = part.num_rows * dim
-                sums, held = np.zeros(size), np.zeros(size, np.int64)
+                sums = np.zeros(size)
                 for own, value in zip(place, x, strict=True):
-                    cell = row * dim + own[word]
-                    sums += np.bincount(cell, value[word], size)
-                    held += np.bincount(cell, minlength=size)
+                    sums += np.bincount(row * dim + own[word], value[word], size)
+                # a sum of zero is a place without tokens, or one whose features cancel out: only rows that have some are looked at again
+                again = (sums.reshape(-1, dim) == 0).any(axis=1)[row]
+                held = sums != 0
+                for own in place:
+                    held[row[again] * dim + own[word[again]]] = True
                 rows = np.unique(row)
-                values = pa.array((sums / 1020).reshape(-1, dim)[rows].ravel(), mask=(held == 0).reshape(-1, dim)[rows].ravel())
+                values = pa.array((sums / 1020).reshape(-1, dim)[rows].ravel(), mask=~held.reshape(-1, dim)[rows].ravel())
                 yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(rows)), pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * dim, pa.int32()), values)], ["key", "vec"])
 
     rows = docs.select(F.col(key).alias("key"), F.lower(F.coalesce(text, F.lit(""))).alias("text"))

@@ -10,19 +10,53 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Letters and digits of a token, as a regular expression.
+LETTER = r"[\p{L}\p{N}]"
 #: Chunks whose words are held at once.
 BATCH_CHUNKS = 256
 
 
-def token_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_CHUNKS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
-    """At most `rows` rows with a list column "tokens", the row of each token, and all tokens in order."""
+_letters: list[np.ndarray] = []
+
+
+def letters(spark: SparkSession) -> np.ndarray:
+    """Whether each code point is a letter or digit, as Spark's own regular expressions know them; asked for once."""
+    if not _letters:
+        codes = spark.range(0, 0x110000, 1, 4).select(F.col("id").cast("int").alias("code"))
+        sign = F.when(F.col("code").between(0xD800, 0xDFFF), "").otherwise(F.decode(F.unhex(F.lpad(F.hex("code"), 8, "0")), "UTF-32"))
+        table = np.zeros(0x110000, bool)
+        table[codes.filter(sign.rlike(LETTER)).toArrow().column("code").to_numpy()] = True
+        _letters.append(table)
+    return _letters[0]
+
+
+def lowered(chunks: DataFrame, *columns: str) -> DataFrame:
+    """What token_batches takes: these columns and the lower-cased text."""
+    return chunks.select(*columns, F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+
+
+def cut_tokens(texts: list[str], letter: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The text of each token and all tokens in order: runs of letters and digits, found by code points at once."""
+    points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le"), np.uint32)
+    inside = letter[points]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), starts, "right")
+    kept = points[inside]
+    sizes = 1 + (kept > 0x7F).astype(np.int32) + (kept > 0x7FF) + (kept > 0xFFFF)
+    offsets = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(ends - starts))].astype(np.int32)
+    return row, pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(kept.tobytes().decode("utf-32-le").encode()))
+
+
+def token_batches(batches: Iterator[pa.RecordBatch], letter: np.ndarray, rows: int = BATCH_CHUNKS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """At most `rows` rows of lowered(), the row of each token, and all tokens in order: those of retrieval.words."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             part = b.slice(at, rows)
-            lists = part.column("tokens")
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            yield part, np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+            yield part, *cut_tokens(part.column("text").to_pylist(), letter)
 
 
 def places(row: np.ndarray) -> np.ndarray:

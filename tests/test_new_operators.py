@@ -137,3 +137,46 @@ def test_feature_sums_are_exact_and_no_word_leaves_its_task(spark):
     assert got.keys() == want.keys() and got[0] == got[6]
     assert all(got[k] == pytest.approx(want[k], abs=1e-15) for k in want)
     assert "split(" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_search_words_are_cut_in_place_as_the_expression_cuts_them(spark):
+    import numpy as np
+
+    from tessera.operators import postings, search
+
+    texts = [(0, "É ß_Straße ½ Ⅷ x²٣"), (1, None), (2, ""), (3, "a\nb\x00c\n"), (4, "𝔘𝟘 漢字 \U0001e900İ ΑΣ ﬁ क्या e\u0301"), (5, "end"), (6, "A-b_c")]
+    chunks = spark.createDataFrame([(f"k{i}", i, t) for i, t in texts], "chunk_id string, idx long, text string").coalesce(1)
+    want = [(i, w) for i, ws in enumerate(r.w for r in chunks.orderBy("idx").select(retrieval.words("text").alias("w")).collect()) for w in ws]
+    letter = postings.letters(spark)
+    row, tokens = postings.cut_tokens([r.text for r in postings.lowered(chunks, "idx").orderBy("idx").collect()], letter)
+    assert list(zip(row.tolist(), tokens.to_pylist(), strict=True)) == want and len(postings.cut_tokens([], letter)[1]) == 0
+    signs = spark.createDataFrame([(c, chr(c)) for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000], "c int, s string")
+    same = signs.select("c", (vectors.F.size(retrieval.words("s")) > 0).alias("is")).toPandas()
+    lower = np.array([any(letter[ord(x)] for x in chr(c).lower()) for c in same["c"]])
+    assert (lower == same["is"]).all()
+    asked = spark.createDataFrame([(0, "straße"), (1, "漢字 ας"), (2, "c b")], "case_id long, query string")
+    best, found = retrieval.lexical_best(chunks, asked, 5), search.found_in(chunks, asked)
+    assert sorted((r.case_id, r.chunk_id) for r in best.collect()) == sorted((r.case_id, r.chunk_id) for r in found.collect()) == [(0, "k0"), (1, "k4"), (2, "k3"), (2, "k6")]
+    # no word becomes a row's element before the texts reach Python
+    assert not any("regexp_extract_all" in x._jdf.queryExecution().optimizedPlan().toString() for x in (best, found, retrieval.inverted_index(chunks)))
+
+
+def test_features_that_cancel_out_are_zero_and_absent_ones_null(spark):
+    import hashlib
+
+    from tessera.functions import text as X
+
+    def cells(token: str) -> dict:
+        out: dict[int, int] = {}
+        for d in (hashlib.sha256(token.encode()).digest()[i : i + 4] for i in range(0, 32, 4)):
+            out[(d[0] << 8 | d[1]) % 2] = out.get((d[0] << 8 | d[1]) % 2, 0) + (1 if d[2] & 1 else -1) * (255 + 3 * d[3])
+        return out
+
+    names = [f"w{i}" for i in range(200_000)]
+    zero = next(n for n in names if 0 in cells(n).values())  # a place whose features cancel out
+    docs = spark.createDataFrame([(0, zero), (1, "a b c"), (2, "-")], "k long, t string").coalesce(1)
+    got = {(r.k, r.at): r.x for r in X.hashed_features(docs, "k", "t", 2).collect()}
+    assert {at for k, at in got if k == 0} == set(cells(zero)) and 0.0 in {got[0, at] for at in cells(zero)}
+    wide = X.hashed_features(docs, "k", "t", 64).groupBy("k").count().collect()
+    want = {k: len({(d[i] << 8 | d[i + 1]) % 64 for t in tokens for d in [hashlib.sha256(t.encode()).digest()] for i in range(0, 32, 4)}) for k, tokens in ((0, [zero]), (1, "abc"), (2, "-"))}
+    assert {r.k: r["count"] for r in wide} == want
